@@ -57,3 +57,22 @@ def running_before(df: DataFrame, group: str, bucket: str, order: list[str], siz
     inner = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("_in", F.coalesce(F.sum(size).over(inner), F.lit(0)))
     return rows.join(base, (F.col(group) == F.col("_g")) & (F.col(bucket) == F.col("_b"))).withColumn(out, F.col("_base") + F.col("_in")).drop("_g", "_b", "_base", "_in")
+
+
+def arrow_schema(ddl: str):  # noqa: ANN201
+    """The Arrow schema of ``name type, ...`` with plain types and arrays of them; works in Python workers."""
+    import pyarrow as pa
+
+    plain = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+    fields = []
+    for part in ddl.split(","):
+        name, kind = part.split()
+        fields.append(pa.field(name.strip("`"), pa.list_(plain[kind[6:-1]]) if kind.startswith("array<") else plain[kind]))
+    return pa.schema(fields)
+
+
+def arrow_batch(rows: list[tuple], schema):  # noqa: ANN001, ANN201
+    """rows, at least one, as one record batch."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
