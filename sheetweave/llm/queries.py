@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.llm.chat import digests, format_chats
 from sheetweave.llm.common import crc_mod, read
+from sheetweave.llm.jaccard import join_near
 from sheetweave.llm.mixing import mix
 from sheetweave.llm.packing import pack
 from sheetweave.llm.pseudonyms import pseudonymise
@@ -60,6 +61,10 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_near(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))[0]
 
@@ -80,5 +85,5 @@ SELECT page_id, c.host, c.path, c.canonical_url, rule,
 FROM c LEFT JOIN best ON c.host = best.host AND c.path = best.path LEFT JOIN listed_urls l ON c.canonical_url = l.canonical_url
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_token_rules": op2_token_rules, "op3_packing": op3_packing, "op5_quality": op5_quality, "op10_chat": op10_chat, "op7_pseudonyms": op7_pseudonyms, "op9_mixing": op9_mixing}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_token_rules": op2_token_rules, "op3_packing": op3_packing, "op5_quality": op5_quality, "op10_chat": op10_chat, "op7_pseudonyms": op7_pseudonyms, "op8_jaccard": op8_jaccard, "op9_mixing": op9_mixing}
 SQL = {"op1_url_filter": OP1_SQL}

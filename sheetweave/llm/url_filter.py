@@ -58,22 +58,33 @@ def bloom_blocks(listed: DataFrame, key: str, n_blocks: int) -> DataFrame:
     return keyed.groupBy("block").agg(*(F.bit_or(m).alias(f"lane{i}") for i, m in enumerate(_masks())))
 
 
+def block_count(keys: int, bits_per_key: int = 16) -> int:
+    return max(1, -(-keys * bits_per_key // BLOCK_BITS))
+
+
+def bloom_probe(df: DataFrame, key: str, blocks: DataFrame, n_blocks: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """Adds ``_maybe``: false only if the key is in none of the blocks.
+
+    The block table is broadcast only while its size, known from n_blocks, is within broadcast_bytes; beyond
+    that it is joined by block.
+    """
+    if n_blocks * (LANES + 1) * 8 <= broadcast_bytes:
+        blocks = F.broadcast(blocks)
+    asked = df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks))).withColumn("_h2", F.xxhash64(key, F.lit(17)))
+    bits = reduce(lambda a, b: a & b, (F.col(f"lane{i}").bitwiseAND(m) == m for i, m in enumerate(_masks())))
+    return asked.join(blocks, "block", "left").withColumn("_maybe", F.coalesce(bits, F.lit(False))).select(*df.columns, "_maybe")
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", bits_per_key: int = 16, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Per page: id, host, path, canonical_url, rule, listed, verdict.
 
-    listed: a column canonical_url of blocked URLs. The block table is broadcast only while its size, known
-    from the count of the list, is within broadcast_bytes; beyond that it is joined by block.
+    listed: a column canonical_url of blocked URLs.
     """
     urls = listed.select("canonical_url").where(F.col("canonical_url").isNotNull()).distinct()
-    n_blocks = max(1, -(-urls.count() * bits_per_key // BLOCK_BITS))
-    blocks = bloom_blocks(urls, "canonical_url", n_blocks)
-    if n_blocks * (LANES + 1) * 8 <= broadcast_bytes:
-        blocks = F.broadcast(blocks)
+    n_blocks = block_count(urls.count(), bits_per_key)
     rule, said = rule_of(rules)
     page = with_parts(pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias("_in_url")), "_in_url").select(id_col, "host", "path", "canonical_url", rule.alias("rule"), said.alias("_said"))
-    probe = page.withColumn("block", F.pmod(F.xxhash64("canonical_url"), F.lit(n_blocks))).withColumn("_h2", F.xxhash64("canonical_url", F.lit(17)))
-    bits = reduce(lambda a, b: a & b, (F.col(f"lane{i}").bitwiseAND(m) == m for i, m in enumerate(_masks())))
-    probed = probe.join(blocks, "block", "left").withColumn("_maybe", F.coalesce(bits & F.col("rule").isNull(), F.lit(False)))
+    probed = bloom_probe(page, "canonical_url", bloom_blocks(urls, "canonical_url", n_blocks), n_blocks, broadcast_bytes).withColumn("_maybe", F.col("_maybe") & F.col("rule").isNull())
     kept = [id_col, "host", "path", "canonical_url", "rule", "_said"]
     clear = probed.where(~F.col("_maybe")).select(*kept, F.lit(False).alias("listed"))
     flags = urls.select(F.col("canonical_url").alias("_key"), F.lit(True).alias("_on"))
