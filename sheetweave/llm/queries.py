@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sheetweave.llm.chat import digests, format_chats
 from sheetweave.llm.common import crc_mod, read
 from sheetweave.llm.jaccard import join_near
+from sheetweave.llm.lm import held_out
+from sheetweave.llm.lm import score as lm_score
 from sheetweave.llm.mixing import mix
 from sheetweave.llm.packing import pack
 from sheetweave.llm.pseudonyms import pseudonymise
@@ -43,6 +45,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score(read(spark, sf_dir, "documents"), ~held_out())
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     ranker = fit(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1))
@@ -85,5 +92,5 @@ SELECT page_id, c.host, c.path, c.canonical_url, rule,
 FROM c LEFT JOIN best ON c.host = best.host AND c.path = best.path LEFT JOIN listed_urls l ON c.canonical_url = l.canonical_url
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_token_rules": op2_token_rules, "op3_packing": op3_packing, "op5_quality": op5_quality, "op10_chat": op10_chat, "op7_pseudonyms": op7_pseudonyms, "op8_jaccard": op8_jaccard, "op9_mixing": op9_mixing}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_token_rules": op2_token_rules, "op3_packing": op3_packing, "op4_language_model": op4_language_model, "op5_quality": op5_quality, "op10_chat": op10_chat, "op7_pseudonyms": op7_pseudonyms, "op8_jaccard": op8_jaccard, "op9_mixing": op9_mixing}
 SQL = {"op1_url_filter": OP1_SQL}
