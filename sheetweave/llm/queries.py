@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.llm.chat import digests, format_chats
 from sheetweave.llm.common import crc_mod, read
+from sheetweave.llm.ego import near_vectors
 from sheetweave.llm.jaccard import join_near
 from sheetweave.llm.lm import held_out
 from sheetweave.llm.lm import score as lm_score
@@ -54,7 +55,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     ranker = fit(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1))
     held_out = (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out")
-    return score(docs, ranker).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs.select("doc_id", "text"), ranker).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,10 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near(read(spark, sf_dir, "documents"))
 
@@ -92,5 +97,5 @@ SELECT page_id, c.host, c.path, c.canonical_url, rule,
 FROM c LEFT JOIN best ON c.host = best.host AND c.path = best.path LEFT JOIN listed_urls l ON c.canonical_url = l.canonical_url
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_token_rules": op2_token_rules, "op3_packing": op3_packing, "op4_language_model": op4_language_model, "op5_quality": op5_quality, "op10_chat": op10_chat, "op7_pseudonyms": op7_pseudonyms, "op8_jaccard": op8_jaccard, "op9_mixing": op9_mixing}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_token_rules": op2_token_rules, "op3_packing": op3_packing, "op4_language_model": op4_language_model, "op5_quality": op5_quality, "op10_chat": op10_chat, "op7_pseudonyms": op7_pseudonyms, "op6_embeddings": op6_embeddings, "op8_jaccard": op8_jaccard, "op9_mixing": op9_mixing}
 SQL = {"op1_url_filter": OP1_SQL}
