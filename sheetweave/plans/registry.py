@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from sheetweave.plans import join_queries, scalar_queries
+
+QUERIES = {**scalar_queries.QUERIES, **join_queries.QUERIES}
+SQL = {**scalar_queries.SQL, **join_queries.SQL}
