@@ -34,7 +34,7 @@ def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[fl
                 out[i] = left * weights[i] / w
             break
         for i in above:
-            out[i] = cap * sizes[i]
+            out[i] = float(cap * sizes[i])
         left -= sum(out[i] for i in above)
         open_ -= set(above)
         if left <= 0:
