@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheetweave.functions.geometry import area, box, center, contained, distance2, foot, segment_distance
+from sheetweave.functions.geometry import Box, area, box, center, contained, distance2, foot, segment_distance
 from sheetweave.operators.spatial import at_point, grid_join, smallest
 
 
@@ -102,8 +102,6 @@ def symbol_paths(nodes: DataFrame, edges: DataFrame, *, most: int = 8, passing:
 def split_points(segments: DataFrame, *, near: float = 2.0, low: float = 0.06, high: float = 0.94) -> DataFrame:
     """Noding: where other segments' ends lie on a segment. segments: sheet_id, seg, ax, ay, bx, by. Gives sheet_id, seg, t, distinct at four decimals."""
     ends = segments.select("sheet_id", F.col("seg").alias("of"), F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p")).select("sheet_id", "of", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
-    from sheetweave.functions.geometry import Box
-
     around = Box(F.least("ax", "bx") - near, F.least("ay", "by") - near, F.greatest("ax", "bx") + near, F.greatest("ay", "by") + near)
     line = (F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     pairs = grid_join(ends, segments, on=["sheet_id"], a=at_point(F.col("px"), F.col("py")), b=around, cell=256.0).where("of <> seg")
@@ -111,14 +109,18 @@ def split_points(segments: DataFrame, *, near: float = 2.0, low: float = 0.06, h
     return pairs.where((segment_distance(*line) <= near) & (t > low) & (t < high)).select("sheet_id", "seg", F.bround(t, 4).alias("t")).distinct()
 
 
-def merge_points(points: DataFrame, distance: float = 4.0) -> DataFrame:
-    """points: sheet_id, node, x, y. Points that hang together by steps of at most the distance are one, at their mean."""
+def merged(points: DataFrame, distance: float = 4.0) -> DataFrame:
+    """points: sheet_id, node, x, y. Adds component: points that hang together by steps of at most the distance are one."""
     here = points.select("sheet_id", F.col("node").alias("a"), F.col("x").alias("px"), F.col("y").alias("py"))
     there = points.select("sheet_id", F.col("node").alias("b"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     near = grid_join(here, there, on=["sheet_id"], a=at_point(F.col("px"), F.col("py"), distance), b=at_point(F.col("qx"), F.col("qy")), cell=64.0)
     edges = near.where((F.col("a") < F.col("b")) & (distance2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= distance * distance)).select("sheet_id", "a", "b")
-    parts = components(points.select("sheet_id", "node"), edges)
-    return points.join(parts, ["sheet_id", "node"]).groupBy("sheet_id", F.col("component").alias("node")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+    return points.join(components(points.select("sheet_id", "node"), edges), ["sheet_id", "node"])
+
+
+def merge_points(points: DataFrame, distance: float = 4.0) -> DataFrame:
+    """The merged points, each at the mean of its members."""
+    return merged(points, distance).groupBy("sheet_id", F.col("component").alias("node")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
 
 
 def containment_parents(nodes: DataFrame, equipment: tuple[str, ...], children: tuple[str, ...], pad: float = 0.05) -> DataFrame:
@@ -164,3 +166,42 @@ def first_evidence(pairs: DataFrame) -> DataFrame:
     c = canonical(pairs)
     order = Window.partitionBy("sheet_id", "a", "b").orderBy("pass_no")
     return c.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def pieces(segments: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Segments cut at cuts (sheet_id, seg, t): sheet_id, seg, k, ax, ay, bx, by of each piece."""
+    at = cuts.groupBy("sheet_id", "seg").agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    ts = F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.expr("cast(array() as array<double>)")), F.array(F.lit(1.0)))
+    cut_up = segments.join(at, ["sheet_id", "seg"], "left").withColumn("ts", ts)
+    part = F.posexplode(F.arrays_zip(F.slice("ts", F.lit(1), F.size("ts") - 1).alias("u"), F.slice("ts", F.lit(2), F.size("ts") - 1).alias("w")))
+    rows = cut_up.select("sheet_id", "seg", "ax", "ay", "bx", "by", part.alias("k", "p"))
+    along = lambda t, a, b: F.col(a) + F.col(f"p.{t}") * (F.col(b) - F.col(a))
+    return rows.select("sheet_id", "seg", "k", along("u", "ax", "bx").alias("ax"), along("u", "ay", "by").alias("ay"), along("w", "ax", "bx").alias("bx"), along("w", "ay", "by").alias("by"))
+
+
+def vector_page_graph(segments: DataFrame, symbols: DataFrame, *, pad: float = 12.0, shortest: float = 1.0, joined: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a page's line graph. segments: sheet_id, seg, ax, ay, bx, by; symbols: sheet_id, node and a box.
+
+    Segments are cut where others end on them, ends are merged, an end within a padded symbol is that symbol, and
+    runs of nodes with two neighbours become one edge. Nodes: sheet_id, node, symbol (its id, or null), kind; symbols
+    keep their ids, other nodes get negative ones. Edges: sheet_id, a, b, n_edges.
+    """
+    long_enough = segments.where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) > shortest)
+    part = cut(pieces(long_enough, split_points(long_enough)))
+    end = lambda side: F.xxhash64("sheet_id", "seg", "k", F.lit(side))
+    part = part.withColumn("p", end(0)).withColumn("q", end(1))
+    points = part.select("sheet_id", F.col("p").alias("node"), F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(part.select("sheet_id", F.col("q").alias("node"), F.col("bx").alias("x"), F.col("by").alias("y")))
+    of = cut(merged(points, joined))
+    spots = of.groupBy("sheet_id", "component").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    pairs = grid_join(spots, symbols.select("sheet_id", F.col("node").alias("symbol"), *box()), on=["sheet_id"], a=at_point(F.col("x"), F.col("y")), b=box().padded(pad), cell=256.0)
+    hit = smallest(pairs, key=["sheet_id", "component"], size=area(box()), tie=[F.col("symbol")]).select("sheet_id", "component", "symbol")
+    new_id = -(F.row_number().over(Window.partitionBy("sheet_id").orderBy("y", "x", "component"))).cast("long")
+    spots = cut(spots.join(hit, ["sheet_id", "component"], "left").withColumn("_id", new_id).withColumn("node", F.coalesce("symbol", "_id")))
+    named = of.select("sheet_id", F.col("node").alias("_e"), "component").join(spots.select("sheet_id", "component", "node"), ["sheet_id", "component"]).select("sheet_id", "_e", "node")
+    ends = lambda c, to: named.select("sheet_id", F.col("_e").alias(c), F.col("node").alias(to))
+    raw = cut(part.select("sheet_id", "p", "q").join(ends("p", "a"), ["sheet_id", "p"]).join(ends("q", "b"), ["sheet_id", "q"]).select("sheet_id", "a", "b").where("a <> b").distinct())
+    edges = cut(degree_two_chains(raw, symbols.select("sheet_id", "node")))
+    degree = edges.select("sheet_id", F.col("a").alias("node")).unionByName(edges.select("sheet_id", F.col("b").alias("node"))).groupBy("sheet_id", "node").agg(F.count("*").alias("degree"))
+    kind = F.when(F.col("symbol").isNotNull(), "symbol").when(F.col("degree") == 1, "loose_end").when(F.col("degree") == 3, "tee").when(F.col("degree") == 4, "cross").otherwise("joint")
+    nodes = spots.select("sheet_id", "node", "symbol").distinct().join(degree, ["sheet_id", "node"]).select("sheet_id", "node", "symbol", kind.alias("kind"))
+    return nodes, edges

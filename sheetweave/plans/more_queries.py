@@ -12,7 +12,7 @@ from sheetweave.functions.geometry import Box, box, center, distance2
 from sheetweave.functions.text import AGENT_TYPES, alnum, mapped, temp_id, token_overlap
 from sheetweave.operators import assign, graphs, metrics, raster, relations, spatial
 from sheetweave.plans.fixtures import Views, sql
-from sheetweave.plans.join_queries import KTYPE, RANKED, hits, sheets
+from sheetweave.plans.join_queries import KTYPE, RANKED, hits, segments
 from sheetweave.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,6 +291,25 @@ def _(v: Views) -> DataFrame:
     return named.select("sheet_id", temp_id(F.col("sheet_id"), F.row_number().over(Window.partitionBy("sheet_id").orderBy("node")) - 1).alias("id"), "name")
 
 
+@query("GRF_06_vector_page_graph")
+def _(v: Views) -> DataFrame:
+    return graphs.vector_page_graph(segments(v), v.sym())[1]
+
+
+@query("GRF_10_effective_symbol", sql("SELECT sheet_id, a, b, CASE WHEN a % 3 = 0 THEN a WHEN a % 3 = 1 THEN b END AS symbol FROM pair", "pair"))
+def _(v: Views) -> DataFrame:
+    """An end's own symbol, else the one its junction belongs to."""
+    a, b = F.col("a"), F.col("b")
+    return graphs.canonical(v.edge().select("sheet_id", "a", "b")).distinct().select("sheet_id", "a", "b", F.coalesce(F.when(a % 3 == 0, a), F.when(a % 3 == 1, b)).alias("symbol"))
+
+
+@query("GRF_11_traced_relations")
+def _(v: Views) -> DataFrame:
+    """The first pipeline: lines to a page graph, and symbols that it connects."""
+    nodes, edges = graphs.vector_page_graph(segments(v), v.sym())
+    return graphs.symbol_paths(nodes.select("sheet_id", "node", F.col("symbol").isNotNull().alias("symbol")), edges, most=8)
+
+
 @query("GRF_22_skid_relations", sql("SELECT DISTINCT sheet_id, a AS asset, b AS member FROM pair WHERE a % 4 = 0", "pair"))
 def _(v: Views) -> DataFrame:
     """Groups keyed by asset, as a map and back to pairs."""

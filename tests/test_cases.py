@@ -105,6 +105,17 @@ def test_degree_two(spark):
     assert sorted((r["a"], r["b"], r["n_edges"]) for r in graphs.degree_two_chains(edges, symbols).collect()) == [(0, 3, 3), (3, 4, 1), (3, 5, 1)]
 
 
+def test_vector_page_graph(spark):
+    symbols = spark.createDataFrame([(0, 1, 0.0, 0.0, 20.0, 20.0), (0, 2, 200.0, 0.0, 220.0, 20.0), (0, 3, 100.0, 200.0, 120.0, 220.0)], "sheet_id long, node long, x0 double, y0 double, x1 double, y1 double")
+    lines = [(0, 0, 20.0, 10.0, 60.0, 10.0), (0, 1, 61.0, 10.0, 200.0, 10.0), (0, 2, 110.0, 11.0, 110.0, 200.0), (0, 3, 160.0, 11.0, 160.0, 90.0), (0, 4, 5.0, 5.0, 5.5, 5.0)]
+    nodes, edges = graphs.vector_page_graph(spark.createDataFrame(lines, "sheet_id long, seg long, ax double, ay double, bx double, by double"), symbols)
+    kinds = sorted(r["kind"] for r in nodes.collect())
+    assert kinds == ["loose_end", "symbol", "symbol", "symbol", "tee", "tee"]
+    assert sorted(r["n_edges"] for r in edges.collect()) == [1, 1, 1, 1, 2]
+    paths = graphs.symbol_paths(nodes.select("sheet_id", "node", F.col("symbol").isNotNull().alias("symbol")), edges)
+    assert sorted((r["a"], r["b"]) for r in paths.collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_cycles(spark):
     rows = [(0, 1, 2, 5.0), (0, 2, 3, 1.0), (0, 3, 1, 9.0), (0, 4, 1, 1.0), (0, 5, 5, 1.0), (0, 6, 99, 1.0), (0, 7, None, 1.0)]
     got = {r["node"]: (r["parent"], r["cut"]) for r in assign.break_cycles(spark.createDataFrame(rows, "sheet_id long, node long, parent long, area double")).collect()}
