@@ -1,7 +1,7 @@
 r"""Format-preserving pseudonyms by keyed Feistel permutations, in SQL functions only.
 
 Found and validated: e-mail addresses, hexadecimal secrets of 32 digits or more, IPv4 addresses (octets up to
-255), calendar dates (1900 to 2099, ISO or day first), telephone numbers (8 to 15 digits with a ``+``,
+255), calendar dates (1900 to 2099, ISO or day first), telephone numbers (8 digits or more with a ``+``,
 brackets or separators) and card or account numbers (13 to 19 digits). A value is read as a list of symbols,
 each below a radix of its own: 10 for digits, 26 or 31 for letters, 16 for hexadecimal digits, 256 for
 octets, 17 and 4297 for the 73,049 days of two centuries. Rounds alternate: one half of the symbols gets,
@@ -30,7 +30,12 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-1][0-9]-[0-3][0-9]|[0-3][0-9][./-][0-1][0-9][./-](?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9])"
-PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,12}(?:[ .-][0-9]{2,8}){0,4}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,5}|(?<![.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
+GROUP = r"[0-9]{2,5}(?![0-9]|\.[0-9])"
+PHONE = (
+    r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{2,5}(?:[ .-][0-9]{2,5})?"
+    rf"|\+[0-9]{{1,3}}(?:[ -]{GROUP}){{2,4}}|\+[0-9]{{1,3}}(?:\.[0-9]{{2,5}}){{2,4}}|\+[0-9]{{8,15}}"
+    r"|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,5}|(?<![.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
+)
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP, DATE, CARD, PHONE))
 #: Letters and digits that are permuted within their own alphabet.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
@@ -63,7 +68,7 @@ def _kind(m: Column) -> Column:
         .when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
         .when(m.rlike(f"^(?:{DATE})$"), F.when(_day(m).isNotNull(), "date"))
         .when(m.rlike(f"^(?:{CARD})$"), "card")
-        .when(F.length(F.regexp_replace(m, "[^0-9]", "")).between(8, 15), "phone")
+        .when(F.length(F.regexp_replace(m, "[^0-9]", "")) >= 8, "phone")
     )
 
 

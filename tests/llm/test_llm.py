@@ -230,7 +230,7 @@ def test_embeddings(spark):
 
 # --- op7 ---
 
-PII = ["mail É.07@mail8.example.com, (212) 555-0199 or +1 (017) 555-7713.", "card 4111 1111 1111 1111 and 7086638319846192", "2020-02-29 31.12.1999 31.02.1999", "ip 10.0.255.3 and 300.1.1.1", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "TOKEN 9233A8ECF7C5B09FE5949719B6B82BC439E9329B!!", "again 4111 1111 1111 1111 é.07@mail8.example.com ...q.7@a.de", "no 123 data", "7086638319846192" * 3000]
+PII = ["mail É.07@mail8.example.com, (212) 555-0199 or +1 (017) 555-7713.", "card 4111 1111 1111 1111 and 7086638319846192", "2020-02-29 31.12.1999 31.02.1999", "ip 10.0.255.3 and 300.1.1.1", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "TOKEN 9233A8ECF7C5B09FE5949719B6B82BC439E9329B!!", "again 4111 1111 1111 1111 é.07@mail8.example.com ...q.7@a.de", "no 123 data", "7086638319846192" * 3000, "Des +1 (826) 555-4081 190.137.223.204 du +44 20 7946 0958 10.11.12.13 +4420794609 (212) 555-0198 7086638319846193"]
 
 
 def test_pseudonyms(spark):
@@ -239,9 +239,11 @@ def test_pseudonyms(spark):
     out = pseudonyms.pseudonymise(df, "key")
     got = {r["doc_id"]: r for r in out.collect()}
     for i, t in enumerate(texts):
-        assert (got[i]["text"] is None) == (t is None) and (i == 3 or len(got[i]["text"] or "") == len(t or ""))
+        assert (got[i]["text"] is None) == (t is None) and (i in (3, 9) or len(got[i]["text"] or "") == len(t or ""))
     for secret in ("07@mail8", "555-7713", "555-0199", "4111 1111", "7086638319846192 ", "2020-02-29", "31.12.1999", "10.0.255.3", "04dbebab", "9233A8EC"):
         assert not any(secret in (got[i]["text"] or "") for i in range(7)), secret
+    for secret in ("555-4081", "190.137", "7946 0958", "10.11.12", "20794609", "555-0198", "7086638319846193"):
+        assert secret not in got[9]["text"], secret
     assert "31.02.1999" in got[2]["text"] and "300.1.1.1" in got[3]["text"] and got[7]["text"] == PII[7]
     assert got[1]["text"][5:24] == got[6]["text"][6:25]  # equal values stay linked
     digits = [int(c) for c in got[1]["text"][5:24] if c.isdigit()]
@@ -367,6 +369,21 @@ def test_chat(spark):
     assert chat.digests(chat.format_chats(df.limit(0), queries.vocabulary("byte_bpe_50k.json"))).count() == 0
 
 
+def test_chat_offsets():
+    """As tokenizers gives them with the marks added as special tokens."""
+    from tokenizers import AddedToken, Tokenizer, processors
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in (chat.START, chat.SEP, chat.END)])
+    tok.post_processor = processors.ByteLevel(trim_offsets=False)
+    for turns in ([("user", "hi  é漢字🙂 x\n\n y"), ("assistant", "<|im_end|> ok.")], [("assistant", "")], [("a", "🙂🙂 \t z" * 50)]):
+        text, _ = chat.render(turns)
+        want = tok.encode(text, add_special_tokens=False)
+        ids, starts, ends = chat.encoder(path).encode(text)
+        assert ids.tolist() == want.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == want.offsets
+
+
 # --- pipeline ---
 
 def test_pipeline(spark, tmp_path):
