@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheetweave.functions.geometry import Box, box, gap, margin, text_shaped
+from sheetweave.functions.geometry import Box, area, box, center, gap, margin, text_shaped
 from sheetweave.operators.graphs import canonical, first_evidence
+from sheetweave.operators.spatial import at_point, grid_join, smallest
 
 
 def build_relations(nodes: DataFrame, inline: DataFrame, direct: DataFrame, paths: DataFrame, *, children: tuple[str, ...], hosts: tuple[str, ...], most_segments: int = 8, most_segments_boundary: int = 8, most_gap: float | None = None) -> DataFrame:
@@ -72,3 +73,27 @@ def classify_tags(tags: DataFrame, *, page_w: Column, page_h: Column, label_type
     t = t.join(shapes, ["sheet_id", "text"], "left")
     double = (F.col("pile") == "symbol") & F.coalesce("_both", F.lit(False)) & F.col("_flat")
     return t.select("sheet_id", "node", "text", F.when(double, "duplicate").otherwise(F.col("pile")).alias("pile"))
+
+
+def detect_ports(words: DataFrame, paths: DataFrame, *, page_w: float, page_h: float, pattern: str = r"^[A-Z]{2}-\d{4}", side: float = 0.16, pad: float = 3.0, most: float = 880.0, below: float = 90.0, beside: float = 200.0) -> DataFrame:
+    """Off-page connectors from sheet references in the side margins: sheet_id, pos, text, box, ref.
+
+    words: sheet_id, pos, text and a box; paths: sheet_id, node and a box. A reference's extent is the smallest path
+    around it, or its own box; extents more than twice as wide as the upper median are cut to that width at the
+    reference; ref is the cheapest text below, of which height counts four times as much as width.
+    """
+    b = box()
+    w = words.where(F.col("text").rlike(pattern)).where(margin(b, F.lit(page_w), F.lit(page_h), side=side) == "side")
+    seed = w.select("sheet_id", "pos", "text", center(b)[0].alias("cx"), center(b)[1].alias("cy"), *(c.alias(f"w_{n}") for n, c in zip(Box._fields, b, strict=True)))
+    around = grid_join(seed, paths.select("sheet_id", "node", *b), on=["sheet_id"], a=at_point(F.col("cx"), F.col("cy")), b=b.padded(pad), cell=256.0, how=F.greatest(b.width, b.height) <= most)
+    best = smallest(around, key=["sheet_id", "pos"], size=area(b), tie=[F.col("node")]).select("sheet_id", "pos", *b)
+    p = seed.join(best, ["sheet_id", "pos"], "left").select("sheet_id", "pos", "text", "cx", "cy", *(F.coalesce(n, f"w_{n}").alias(n) for n in Box._fields))
+    usual = p.groupBy("sheet_id").agg(F.element_at(F.array_sort(F.collect_list(b.width)), F.floor(F.count("*") / 2).cast("int") + 1).alias("_med"))
+    big = b.width > 2 * F.col("_med")
+    p = p.join(usual, "sheet_id").select("sheet_id", "pos", "text", "cx", "cy", F.when(big, F.col("cx") - F.col("_med") / 2).otherwise(b.x0).alias("x0"), "y0", F.when(big, F.col("cx") + F.col("_med") / 2).otherwise(b.x1).alias("x1"), "y1")
+    text = words.select("sheet_id", F.col("pos").alias("ref"), center(b)[0].alias("wx"), center(b)[1].alias("wy"))
+    reach = Box(F.col("cx") - beside, F.col("cy"), F.col("cx") + beside, F.col("cy") + below)
+    near = grid_join(p.select("sheet_id", "pos", "cx", "cy"), text, on=["sheet_id"], a=reach, b=at_point(F.col("wx"), F.col("wy")), cell=200.0).where("ref <> pos")
+    cost = F.abs(F.col("wy") - F.col("cy")) + 0.25 * F.abs(F.col("wx") - F.col("cx"))
+    ref = smallest(near, key=["sheet_id", "pos"], size=cost, tie=[F.col("ref")]).select("sheet_id", "pos", "ref")
+    return p.join(ref, ["sheet_id", "pos"], "left").select("sheet_id", "pos", "text", *box(), "ref")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheetweave.functions.geometry import Box, box, center, distance2
+from sheetweave.functions import prompts
+from sheetweave.functions.geometry import Box, box, center
 from sheetweave.functions.text import AGENT_TYPES, alnum, mapped, temp_id, token_overlap
 from sheetweave.operators import assign, graphs, metrics, raster, relations, spatial
 from sheetweave.plans.fixtures import Views, sql
@@ -276,6 +277,28 @@ def _(v: Views) -> DataFrame:
     return relations.classify_tags(tags, page_w=F.lit(4200.0), page_h=F.lit(3200.0))
 
 
+@query("GRF_16_detect_ports", sql("""AND seed AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM word WHERE regexp_matches(text, '^[A-Z]{3}-[0-9]{4}') AND ((x0 + x1) / 2 < 672 OR (x0 + x1) / 2 > 3528)),
+  best AS (SELECT s.pos, arg_min(d.node, ((d.x1 - d.x0) * (d.y1 - d.y0), d.node)) AS node FROM seed s JOIN sym d ON d.sheet_id = s.sheet_id AND cx BETWEEN d.x0 - 3 AND d.x1 + 3 AND cy BETWEEN d.y0 - 3 AND d.y1 + 3 GROUP BY s.pos),
+  p AS (SELECT s.sheet_id, s.pos, s.text, cx, cy, coalesce(d.x0, s.x0) AS x0, coalesce(d.y0, s.y0) AS y0, coalesce(d.x1, s.x1) AS x1, coalesce(d.y1, s.y1) AS y1 FROM seed s LEFT JOIN best USING (pos) LEFT JOIN sym d ON d.node = best.node),
+  m AS (SELECT sheet_id, list_sort(list(x1 - x0))[count(*) // 2 + 1] AS med FROM p GROUP BY sheet_id),
+  r AS (SELECT p.pos, arg_min(w.pos, (abs((w.y0 + w.y1) / 2 - cy) + 0.25 * abs((w.x0 + w.x1) / 2 - cx), w.pos)) AS ref FROM p JOIN word w ON w.sheet_id = p.sheet_id AND w.pos <> p.pos AND (w.y0 + w.y1) / 2 - cy BETWEEN 0 AND 90 AND abs((w.x0 + w.x1) / 2 - cx) <= 200 GROUP BY p.pos)
+  SELECT p.sheet_id, p.pos, text, CASE WHEN x1 - x0 > 2 * med THEN cx - med / 2 ELSE x0 END AS x0, y0, CASE WHEN x1 - x0 > 2 * med THEN cx + med / 2 ELSE x1 END AS x1, y1, ref FROM p JOIN m USING (sheet_id) LEFT JOIN r ON r.pos = p.pos""", "sym", "word"))
+def _(v: Views) -> DataFrame:
+    return relations.detect_ports(v.word(), v.sym(), page_w=4200.0, page_h=3200.0, pattern="^[A-Z]{3}-[0-9]{4}")
+
+
+@query("PRS_17_fallback", sql("SELECT node, CASE node % 5 WHEN 0 THEN '{\"keep\":' || (node % 2 = 0) || ',\"confidence\":0.5}' WHEN 1 THEN '{\"keep\":false,\"confidence\":0.5}' ELSE '{}' END AS payload FROM answer", "answer"))
+def _(v: Views) -> DataFrame:
+    return v.answer().select("node", prompts.fallback(F.col("text"), "keep").alias("payload"))
+
+
+@query("AGG_26_crop_coverage", sql("SELECT sheet_id, count(*) AS items, count(*) FILTER (WHERE greatest(x1, x0 + node % 900) - x0 <= 400) AS covered FROM sym GROUP BY sheet_id", "sym"))
+def _(v: Views) -> DataFrame:
+    """Items whose crop stays within the largest size."""
+    span = F.greatest(F.col("x1"), F.col("x0") + F.col("node") % 900) - F.col("x0")
+    return v.sym().groupBy("sheet_id").agg(F.count("*").alias("items"), F.count_if(span <= 400).alias("covered"))
+
+
 @query("GRF_20_agreement_sets", sql(f"AND {RELATIONS}, kept AS (SELECT DISTINCT sheet_id, a, b FROM v WHERE verdict = 'kept'), c AS (SELECT DISTINCT sheet_id, least(a, b) AS a, greatest(a, b) AS b FROM claim WHERE b < 1000000) SELECT coalesce(k.sheet_id, c.sheet_id) AS sheet_id, coalesce(k.a, c.a) AS a, coalesce(k.b, c.b) AS b, CASE WHEN k.a IS NULL THEN 'llm_only' WHEN c.a IS NULL THEN 'geometry_only' ELSE 'agreed' END AS category FROM kept k FULL JOIN c ON c.sheet_id = k.sheet_id AND c.a = k.a AND c.b = k.b", "sym", "edge", "claim"))
 def _(v: Views) -> DataFrame:
     k = relations.relations(candidates(v)).select("sheet_id", "a", "b", F.lit(1).alias("_k"))
