@@ -55,11 +55,11 @@ def unsorted_planes(b: bytes) -> np.ndarray:
     return np.cumsum(unplanes(b), dtype=np.uint64)
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's words and then its end, and the number of tokens of each text."""
     import xxhash
 
-    split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    split = [(t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass")).lower().split() for t in texts]
     sizes = np.array([len(s) + 1 for s in split], np.int64)
     out = np.full(int(sizes.sum()), END, np.uint64)
     words = np.ones(len(out), bool)
@@ -78,7 +78,7 @@ def grams(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 MESSAGE = "chunk long, bucket long, keys1 binary, counts1 binary, keys2 binary, counts2 binary"
 ANSWER = "chunk long, bucket long, counts1 binary, counts2 binary, n long, v long"
-COUNTED = "doc_id long, train boolean, n_tokens long, c1 binary, c2 binary, n long, v long"
+COUNTED = "doc_ids array<long>, train array<boolean>, sizes array<long>, c1 binary, c2 binary, n long, v long"
 
 
 def send(chunk: int, texts: list, train: np.ndarray, bits: int) -> list[tuple]:
@@ -107,30 +107,60 @@ def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.nd
     return np.split(total[at], np.cumsum([len(k) for k in keys])[:-1]), total
 
 
-def recount(texts: list, ids: list, train: np.ndarray, answers: list[tuple]) -> list[tuple]:
-    """Per document, the corpus's counts of its tokens and bigrams."""
+def recount(texts: list, ids: list, train: np.ndarray, answers: list[tuple]) -> tuple:
+    """A chunk's ids, and the corpus's counts of all its tokens and bigrams."""
     h, sizes = tokens(texts)
     answers = sorted(answers)  # by bucket, and so by key
     per_token = []
     for keys, which in zip(grams(h, sizes), (1, 2), strict=True):
         _, at = np.unique(keys, return_inverse=True)
-        per_token.append(np.concatenate([unplanes(a[which]) for a in answers])[at])
-    ends = np.cumsum(sizes).tolist()
-    return [(d, bool(t), n, planes(per_token[0][e - n : e]), planes(per_token[1][e - n : e]), None, None) for d, t, n, e in zip(ids, train, sizes.tolist(), ends, strict=True)]
+        per_token.append(planes(np.concatenate([unplanes(a[which]) for a in answers])[at]))
+    return ids, train.tolist(), sizes.tolist(), *per_token, None, None
 
 
-def count(docs: DataFrame, train: Column, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """Per document its token counts; and one row without token counts that has N and V."""
+def documents_of(batch) -> Iterator[tuple]:  # noqa: ANN001
+    """(doc_id, train, c1, c2) of the chunks of a batch."""
+    for ids, train, sizes, one, two in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        c1, c2, at = unplanes(one), unplanes(two), 0
+        for doc_id, learnt, n in zip(ids, train, sizes, strict=True):
+            yield doc_id, learnt, c1[at : at + n], c2[at : at + n]
+            at += n
+
+
+def zipped(rows: DataFrame) -> DataFrame:
+    """(chunk, doc_id, z, train): the texts compressed, which halves what is dealt."""
+    kind = "chunk long, doc_id long, z binary, train boolean"
+
+    def run(batches: Iterator) -> Iterator:
+        import zstandard
+
+        schema, press = arrow_schema(kind), zstandard.ZstdCompressor(3)
+        for batch in batches:
+            got = [(c, d, press.compress((t or "").encode("utf-8", "surrogatepass")), x) for c, d, t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if got:
+                yield arrow_batch(got, schema)
+
+    return rows.select("chunk", "doc_id", "text", "train").mapInArrow(run, kind)
+
+
+def unzipped(table) -> list[bytes]:  # noqa: ANN001
+    import zstandard
+
+    return [zstandard.decompress(z) for z in table.column("z").to_pylist()]
+
+
+def count(docs: DataFrame, train: Column, chunk_bytes: int = 6 << 20) -> DataFrame:
+    """A row for each chunk with its token counts, and one without that has N and V."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, math.ceil(size / chunk_bytes))
     bits = max(0, math.ceil(math.log2(n_chunks)))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))).select("chunk", "doc_id", "text", "train").repartition(n_chunks, "chunk")
+    dealt = zipped(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))).repartition(n_chunks, "chunk")
 
     def emit(key, table):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        got = send(key[0].as_py(), table.column("text").to_pylist(), table.column("train").to_numpy(), bits)
+        got = send(key[0].as_py(), unzipped(table), table.column("train").to_numpy(), bits)
         return pa.Table.from_batches([arrow_batch(got, arrow_schema(MESSAGE))])
 
     def answer(key, table):  # noqa: ANN001, ANN202
@@ -146,12 +176,11 @@ def count(docs: DataFrame, train: Column, chunk_bytes: int = 4 << 20) -> DataFra
     def meet(key, docs, answers):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        schema = arrow_schema(COUNTED)
         if key[0].as_py() == -1:
-            got = [(None, None, None, None, None, sum(answers.column("n").to_pylist()), sum(answers.column("v").to_pylist()))]
+            got = (None, None, None, None, None, sum(answers.column("n").to_pylist()), sum(answers.column("v").to_pylist()))
         else:
-            got = recount(docs.column("text").to_pylist(), docs.column("doc_id").to_pylist(), docs.column("train").to_numpy(), list(zip(*(answers.column(n).to_pylist() for n in ("bucket", "counts1", "counts2")), strict=True)))
-        return pa.Table.from_batches([arrow_batch(got, schema)])
+            got = recount(unzipped(docs), docs.column("doc_id").to_pylist(), docs.column("train").to_numpy(), list(zip(*(answers.column(n).to_pylist() for n in ("bucket", "counts1", "counts2")), strict=True)))
+        return pa.Table.from_batches([arrow_batch([got], arrow_schema(COUNTED))])
 
     answers = dealt.groupBy("chunk").applyInArrow(emit, MESSAGE).groupBy("bucket").applyInArrow(answer, ANSWER)
     return saved(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, COUNTED))
@@ -215,21 +244,22 @@ def log10_probability(c1: np.ndarray, c2: np.ndarray, n: int, v: int, weights: n
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """Per document: doc_id, train, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score."""
     counted = count(docs, train)
-    known = counted.where("c1 is not null")
+    known = counted.where("c1 is not null").select("doc_ids", "train", "sizes", "c1", "c2")
     totals = counted.where("c1 is null").agg(F.sum("n"), F.sum("v")).first()
     n, v = totals[0] or 0, totals[1] or 0
 
     def tally(batches: Iterator) -> Iterator:
         seen = np.zeros(65 * BINS * BINS, np.int64)
         for batch in batches:
-            for c1, c2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cells, times = np.unique(events(unplanes(c1), unplanes(c2), n), return_counts=True)
-                seen[cells] += times
+            for _, learnt, c1, c2 in documents_of(batch):
+                if learnt:
+                    cells, times = np.unique(events(c1, c2, n), return_counts=True)
+                    seen[cells] += times
         at = np.flatnonzero(seen)
         if len(at):
             yield arrow_batch(list(zip(at.tolist(), seen[at].tolist(), strict=True)), arrow_schema("cell long, times long"))
 
-    cells = known.where("train").select("c1", "c2").mapInArrow(tally, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).orderBy("cell").collect()
+    cells = known.mapInArrow(tally, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).orderBy("cell").collect()
     weights = learn_weights(np.array([r["cell"] for r in cells], np.int64), np.array([r["times"] for r in cells], np.float64), v) if cells else np.tile(np.array([0.0, 0.0, 1.0]), (65, 1))
     kind = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -237,14 +267,13 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         schema, floor = arrow_schema(kind), math.log10(n + v + 1)
         for batch in batches:
             rows = []
-            for doc_id, learnt, size, c1, c2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                c1, c2 = unplanes(c1), unplanes(c2)
-                base = float(np.log10(c1.astype(np.float64) + 1).sum()) - size * floor
-                rows.append((doc_id, learnt, size, int((c1 > 0).sum()), n, base, log10_probability(c1, c2, n, v, weights)))
+            for doc_id, learnt, c1, c2 in documents_of(batch):
+                base = float(np.log10(c1.astype(np.float64) + 1).sum()) - len(c1) * floor
+                rows.append((doc_id, learnt, len(c1), int((c1 > 0).sum()), n, base, log10_probability(c1, c2, n, v, weights)))
             if rows:
                 yield arrow_batch(rows, schema)
 
-    return known.select("doc_id", "train", "n_tokens", "c1", "c2").mapInArrow(run, kind)
+    return known.mapInArrow(run, kind)
 
 
 def held_out(modulus: int = 7, rest: int = 2) -> Column:
