@@ -4,8 +4,8 @@ Base rules: too few words, or more than half of the words in three-word windows
 two public vocabularies are used. The byte-level one gives a text's characters per token and the entropy of
 its tokens; the piece vocabulary, word by word, the share of tokens that fall back to bytes. Each is
 held against a band for the text's script, or for its language where one is given; texts with fewer than
-``least`` tokens are only held against the base rules. The bands are wide on purpose: they reject what no
-prose does, not what is unusual.
+``least`` tokens are only held against the base rules. The bands leave room around prose: they catch shouting,
+symbols and rows of cells, which cost many tokens, not what is merely unusual.
 
 Edge cases: null and empty texts have no words, so they fail the base rules; a word of any length is encoded
 whole, but only words up to 48 bytes are remembered; unknown or null languages use the script's band;
@@ -25,7 +25,15 @@ from sheetweave.llm.common import arrow_batch, arrow_schema
 
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 #: By script or language: least and most characters per token, most byte-fallback share, least and most token entropy in bits.
-BANDS = {"latin": (1.2, 8.0, 0.15, 3.0, 13.0), "other": (0.3, 8.0, 0.60, 2.5, 13.5)}
+#: A script's band holds what any prose has. A language's lower bounds lie about a tenth below the least of labelled good documents.
+BANDS = {
+    "latin": (1.2, 8.0, 0.15, 3.0, 13.0),
+    "other": (0.3, 8.0, 0.60, 2.5, 13.5),
+    "en": (2.15, 8.0, 0.15, 5.2, 13.0),
+    "de": (2.2, 8.0, 0.15, 5.2, 13.0),
+    "fr": (1.95, 8.0, 0.15, 5.2, 13.0),
+    "es": (2.05, 8.0, 0.15, 5.2, 13.0),
+}
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_per_token double, byte_share double, token_entropy double, script string, kept boolean"
 
 

@@ -18,7 +18,7 @@ DOC = "doc_id long, text string, lang string, source string, n_chars long, host
 def docs_frame(spark, texts, ids=None, sources=None):
     ids = range(len(texts)) if ids is None else ids
     sources = sources or ["a"] * len(texts)
-    return spark.createDataFrame([(i, t, "en", s, 0, "clash", 7, 7, 7) for i, t, s in zip(ids, texts, sources, strict=True)], DOC)
+    return spark.createDataFrame([(i, t, "xx", s, 0, "clash", 7, 7, 7) for i, t, s in zip(ids, texts, sources, strict=True)], DOC)
 
 
 def words(n, seed=0, vocab=400):
@@ -89,6 +89,14 @@ def test_token_rules(spark):
     assert token_rules.judge(docs_frame(spark, ["x"]).limit(0), queries.vocabulary("byte_bpe_multi_50k.tiktoken"), queries.vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def test_token_rules_catch_junk(spark):
+    rows = {r["doc_id"]: r["kept"] for r in queries.op2_token_rules(spark, SF_DIR).collect()}
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
+    plain = {r["doc_id"] for r in queries.op2_token_rules(spark, SF_DIR).where("not base_failed").collect()}
+    assert all(rows[d] for d, q in marks.items() if q == 1 and d in plain)
+    assert sum(not rows[d] for d, q in marks.items() if q == 0) > 0.6 * sum(q == 0 for q in marks.values())
+
+
 def test_token_rules_bands_reject(spark):
     prose = words(200, 5)
     bands = {"latin": (1.2, 8.0, 0.15, 99.0, 100.0), "other": (0, 99, 1, 0, 99), "en": (1.2, 8.0, 0.15, 99.0, 100.0)}
