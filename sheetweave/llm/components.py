@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges stay distributed; each round is saved in the shared checkpoint folder. A centre with very many
-neighbours costs a minimum with partial aggregation and a join whose large side can be split, never a group
-in one task. Only a count and a sum per round come to the driver.
+neighbours costs a minimum with partial aggregation and a join whose large side can be split (the minima are
+saved first, so that the join reads both sides from exchanges of its own), never a group in one task. Only a count and a sum per round come to the driver.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ def _state(edges: DataFrame) -> tuple:
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node goes to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
+    least = saved(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m")))
     return both.join(least, F.col("a") == F.col("n")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours go to the smallest of them. edges: a > b."""
-    least = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+    least = saved(edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")))
     moved = edges.join(least, F.col("a") == F.col("n")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 

@@ -232,7 +232,7 @@ def with_shingles(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, kind)
 
 
-def join_near(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = 24, target: float = 0.999, block: int = 1024, block_shingles: int = 1 << 20) -> DataFrame:
+def join_near(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = 24, target: float = 0.999, block: int = 512, block_shingles: int = 1 << 19) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (smallest id reachable by links), n_links (documents linked directly, copies included), class_size (copies, itself included), kept (whether it is the one that stays)."""
     signed = saved(sign(docs, trees, depth_for(threshold, trees, target)))
     reps = saved(signed.where("n > 0").groupBy("rep").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -253,7 +253,7 @@ def join_near(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = 24,
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select("rep", "root"))
     of_rep = reps.select("rep", "first_id", "size").join(links, "rep", "left").join(parts, F.col("rep") == F.col("id"), "left").select("rep", "first_id", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("part"))
-    least = of_rep.groupBy("part").agg(F.min("first_id").alias("class_id"))
+    least = saved(of_rep.groupBy("part").agg(F.min("first_id").alias("class_id")))  # saved, so that the join can split a large part
     of_rep = of_rep.join(least, "part").select("rep", "class_id", "size", "links")
     out = signed.where("n > 0").join(of_rep, "rep").select("doc_id", F.col("n").alias("n_shingles"), "class_id", (F.col("size") - 1 + F.col("links")).alias("n_links"), F.col("size").alias("class_size"))
     alone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
