@@ -197,7 +197,7 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.9, block: int = 2048, sa
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select("rep", "root"))
     of_rep = reps.select("rep", "first_id", "size").join(links, "rep", "left").join(parts, F.col("rep") == F.col("id"), "left").select("rep", "first_id", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("part"))
-    least = of_rep.groupBy("part").agg(F.min("first_id").alias("component_id"))
+    least = saved(of_rep.groupBy("part").agg(F.min("first_id").alias("component_id")))  # saved, so that the join can split a large part
     of_rep = of_rep.join(least, "part").select("rep", "component_id", (F.col("size") - 1 + F.col("links")).alias("n_links"))
     out = good.join(of_rep, "rep").select("vec_id", "n_links", "component_id")
     alone = vectors.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
