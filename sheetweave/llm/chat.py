@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from sheetweave.llm.common import arrow_batch, arrow_schema
+from sheetweave.llm.tokens import byte_bpe
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 SCHEMA = "conv_id long, n_turns long, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<boolean>"
@@ -58,28 +59,47 @@ def mask_of(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]])
     return mask
 
 
-@functools.cache
-def tokenizer(path: str):  # noqa: ANN201
-    from tokenizers import AddedToken, Tokenizer, processors
+class Encoder:
+    """Token ids and offsets of a formatted text, the three marks being tokens of their own after the vocabulary's."""
+
+    def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        base = byte_bpe(path)
+        size = base.tok.get_vocab_size()
+        ranks, marks = base.ranks, {t: size + i for i, t in enumerate((START, SEP, END))}
+        self.bpe = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=marks)
+        self.bytes = np.zeros(size + len(marks), np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in marks.items())]:
+            self.bytes[i] = len(token)
 
-    tok = Tokenizer.from_file(path)
-    tok.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in (START, SEP, END)])
-    tok.post_processor = processors.ByteLevel(trim_offsets=False)  # else a token's leading space lies outside it
-    return tok
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, starts and ends in code points; a token within a character covers all of it."""
+        ids = np.asarray(self.bpe.encode(text, allowed_special="all"), np.int32)
+        if not len(ids):
+            return ids, ids, ids
+        upto = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+        ends = np.cumsum(self.bytes[ids])
+        return ids, (upto[ends - self.bytes[ids]] - 1).astype(np.int32), upto[ends - 1].astype(np.int32)
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def format_chats(conversations: DataFrame, tokenizer_path: str, *, target: str = "assistant") -> DataFrame:
     """Per conversation: conv_id, n_turns, formatted, token ids, their starts and ends in code points, and the loss mask."""
     def run(batches: Iterator) -> Iterator:
-        tok, schema = tokenizer(tokenizer_path), arrow_schema(SCHEMA)
+        enc, schema = encoder(tokenizer_path), arrow_schema(SCHEMA)
 
         def done(held: list):  # noqa: ANN202
             rows = []
             for conv_id, turns in held:
                 text, spans = render(turns, target)
-                e = tok.encode(text, add_special_tokens=False)
-                at = np.array(e.offsets, np.int32).reshape(-1, 2)
-                rows.append((conv_id, len(turns), text, e.ids, at[:, 0], at[:, 1], mask_of(at[:, 0], at[:, 1], spans)))
+                ids, starts, ends = enc.encode(text)
+                rows.append((conv_id, len(turns), text, ids, starts, ends, mask_of(starts, ends, spans)))
             return arrow_batch(rows, schema)
 
         held, size, now = [], 0, object()

@@ -55,8 +55,8 @@ class ByteBpe:
         self.tok = load_json(path)
         added, byte_of = self.tok.get_added_tokens_decoder(), _byte_of()
         self.special = [t.content for t in added.values()]
-        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in self.tok.get_vocab().items() if i not in added}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in self.tok.get_vocab().items() if i not in added}
+        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
