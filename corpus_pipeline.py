@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data."""
-    done = pseudonymise(docs, PSEUDONYM_KEY).withColumn("n_chars", F.length("text").cast("long"))  # an address may be a digit shorter
+    done = pseudonymise(docs, PSEUDONYM_KEY, checked=True).withColumn("n_chars", F.length("text").cast("long"))  # an address may be a digit shorter
     return done.select(*docs.columns)
 
 

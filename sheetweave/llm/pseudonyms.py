@@ -2,7 +2,8 @@ r"""Format-preserving pseudonyms by keyed Feistel permutations, in SQL functions
 
 Found and validated: e-mail addresses, hexadecimal secrets of 32 digits or more, IPv4 addresses (octets up to
 255), calendar dates (1900 to 2099, ISO or day first), telephone numbers (8 digits or more with a ``+``,
-brackets or separators) and card or account numbers (13 to 19 digits). A value is read as a list of symbols,
+brackets or separators) and card or account numbers (13 to 19 digits; with ``checked`` only those whose Luhn
+digit is right, so that other long numbers stay). A value is read as a list of symbols,
 each below a radix of its own: 10 for digits, 26 or 31 for letters, 16 for hexadecimal digits, 256 for
 octets, 17 and 4297 for the 73,049 days of two centuries. Rounds alternate: one half of the symbols gets,
 modulo its radixes, numbers from SHA-256 over the key, the kind, the round and the other half. That permutes
@@ -47,10 +48,10 @@ def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _luhn(body: Column) -> Column:
-    """The Luhn sum of all but the check digit."""
+def _luhn(body: Column, doubled: int = 0) -> Column:
+    """The Luhn sum of all but the check digit; of a whole number with doubled = 1."""
     def part(d: Column, i: Column) -> Column:
-        return F.when(i % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
+        return F.when(i % 2 == doubled, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
 
     return F.aggregate(F.transform(F.reverse(body), part), F.lit(0).cast("long"), lambda a, b: a + b)
 
@@ -60,14 +61,15 @@ def _day(m: Column) -> Column:
     return F.datediff(F.try_to_date(F.when(m.rlike("^[0-9]{4}-"), m).otherwise(iso), "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long")
 
 
-def _kind(m: Column) -> Column:
+def _kind(m: Column, checked: bool) -> Column:
     """What a found string is; null if it isn't valid."""
+    digits = F.transform(_chars(F.regexp_replace(m, "[^0-9]", "")), lambda c: c.cast("long"))
     return (
         F.when(F.instr(m, "@") > 0, "email")
         .when(m.rlike("^[0-9a-fA-F]{32,128}$"), "hex")
         .when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
         .when(m.rlike(f"^(?:{DATE})$"), F.when(_day(m).isNotNull(), "date"))
-        .when(m.rlike(f"^(?:{CARD})$"), "card")
+        .when(m.rlike(f"^(?:{CARD})$"), F.when(_luhn(digits, 1) % 10 == 0, "card") if checked else F.lit("card"))
         .when(F.length(F.regexp_replace(m, "[^0-9]", "")) >= 8, "phone")
     )
 
@@ -84,9 +86,9 @@ def _alphabet(c: Column, kind: Column) -> Column:
     return F.when((kind == "hex") & F.lit(HEX).contains(c), HEX).when((kind != "hex") & F.lit(ALPHABETS[0]).contains(c), ALPHABETS[0]).otherwise(found)
 
 
-def _read(found: Column) -> Column:
+def _read(found: Column, checked: bool) -> Column:
     """Per found string: kind, shape, and its symbols as (alphabet, number below its radix)."""
-    named = F.transform(found, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+    named = F.transform(found, lambda m: F.struct(m.alias("m"), _kind(m, checked).alias("kind")))
     shaped = F.transform(named, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), _shape(s["m"], s["kind"]).alias("shape")))
 
     def letters(s: Column) -> Column:
@@ -149,11 +151,11 @@ def _write(s: Column) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", undo: bool = False) -> DataFrame:
-    """docs with text_col rewritten and n_pseudonyms (long), the values that changed; undo gives the values back to whoever has the key."""
+def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", undo: bool = False, checked: bool = False) -> DataFrame:
+    """docs with text_col rewritten and n_pseudonyms (long), the values that changed; undo gives the values back to whoever has the key. checked leaves long numbers alone that fail the Luhn check."""
     text, none = F.col(text_col), F.expr("cast(array() as array<string>)")
     df = docs.withColumn("_found", F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), none))
-    df = df.withColumn("_s", F.transform(_read(F.col("_found")), _halves))
+    df = df.withColumn("_s", F.transform(_read(F.col("_found"), checked), _halves))
     for rnd in reversed(range(ROUNDS)) if undo else range(ROUNDS):
         df = df.withColumn("_s", F.transform("_s", _turned(rnd, key, undo)))
     joined = F.transform("_s", lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["shape"].alias("shape"), s["a"].alias("a"), s["off"].alias("off"), F.concat(s["l"], s["r"]).alias("x")))

@@ -66,7 +66,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, checked=True)
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

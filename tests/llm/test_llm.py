@@ -268,6 +268,20 @@ def test_pseudonyms_permute(spark):
     assert pseudonyms.pseudonymise(df, "k").select("text").distinct().count() == 2000
 
 
+def test_pseudonyms_check_cards(spark, tmp_path):
+    """The query and the pipeline rewrite card numbers with a right Luhn digit and leave other long numbers alone."""
+    import corpus_pipeline as cp
+
+    texts = ["card 4111 1111 1111 1111 or 4845168114407329.", "order 9807915762804490, 4111 1111 1111 1112 and 12345678901234"]
+    df = docs_frame(spark, texts)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries.op7_pseudonyms(spark, str(tmp_path)), cp.personal_data(spark, df, "")):
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert got[1] == texts[1] and "4111 1111" not in got[0] and "4845168114407329" not in got[0]
+    back = pseudonyms.pseudonymise(queries.op7_pseudonyms(spark, str(tmp_path)).drop("n_pseudonyms"), queries.PSEUDONYM_KEY, undo=True, checked=True)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
+
+
 # --- op8 ---
 
 def near_texts():
