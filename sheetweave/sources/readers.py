@@ -29,7 +29,7 @@ def named(boxes: DataFrame, names: DataFrame | None) -> DataFrame:
     """Adds cls: the name of the class id, ``class_<id>`` for an unknown one, ``symbol`` for all without names."""
     if names is None:
         return boxes.withColumn("cls", F.lit("symbol"))
-    return boxes.join(F.broadcast(names.limit(10_000)), "cls_id", "left").withColumn("cls", F.coalesce("cls", F.concat(F.lit("class_"), F.col("cls_id").cast("string"))))
+    return boxes.join(names, "cls_id", "left").withColumn("cls", F.coalesce("cls", F.concat(F.lit("class_"), F.col("cls_id").cast("string"))))
 
 
 def class_names(spark: SparkSession, path: str) -> DataFrame:

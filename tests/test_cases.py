@@ -181,3 +181,9 @@ def test_no_nested_loops(spark):
     v = Views(spark, "/root/testdata/sf0.001")
     plan = spatial.points_in_boxes(v.predd().drop("cls"), v.symd())._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_class_names_beyond_ten_thousand(spark):
+    names = spark.range(20_000).selectExpr("cast(id as int) cls_id", "concat('n', id) cls")
+    boxes = spark.createDataFrame([(5,), (10_500,), (19_999,), (20_001,)], "cls_id int")
+    assert {r["cls_id"]: r["cls"] for r in readers.named(boxes, names).collect()} == {5: "n5", 10_500: "n10500", 19_999: "n19999", 20_001: "class_20001"}
