@@ -35,8 +35,10 @@ class Views:
     def symd(self) -> DataFrame:
         return self.sym(600, 450)
 
-    def pred(self, dense: bool = False) -> DataFrame:
-        lines = self.table("lineitem").where("l_linenumber = 1 and l_orderkey % 10 = 0")
+    def pred(self, dense: bool = False, whole: bool = False) -> DataFrame:
+        """Detections: of every row of lineitem if whole, else of the rows that the SQL reads."""
+        lines = self.table("lineitem")
+        lines = lines if whole else lines.where("l_linenumber = 1 and l_orderkey % 10 = 0")
         rows = lines.join(self.symd() if dense else self.sym(), F.col("l_partkey") == F.col("node"))
         order = Window.partitionBy("sheet_id").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
         px = F.col("x0") + (F.col("l_suppkey") * 31 + F.col("l_orderkey") * 17) % 90 - 20
@@ -44,8 +46,8 @@ class Views:
         conf = F.when(F.col("l_returnflag") != "N", F.round(F.col("l_discount") * 100).cast("int"))
         return rows.select("sheet_id", F.row_number().over(order).cast("long").alias("pos"), px.alias("px"), py.alias("py"), conf.alias("conf"), "cls")
 
-    def predd(self) -> DataFrame:
-        return self.pred(dense=True)
+    def predd(self, whole: bool = False) -> DataFrame:
+        return self.pred(dense=True, whole=whole)
 
     def edge(self) -> DataFrame:
         a = F.col("l_partkey")

@@ -553,18 +553,18 @@ def _(v: Views) -> DataFrame:
 
 @query("CLU_01_stitch")
 def _(v: Views) -> DataFrame:
-    return assign.anchor_clusters(v.predd())
+    return assign.anchor_clusters(v.predd(whole=True))
 
 
 @query("CLU_02_suppress")
 def _(v: Views) -> DataFrame:
     order = Window.partitionBy("sheet_id").orderBy(F.col("conf").isNull(), F.col("conf").desc(), "pos")
-    return assign.suppress(v.predd().withColumn("rank", F.row_number().over(order).cast("long")), rank="rank", distance=30.0, strict=False)
+    return assign.suppress(v.predd(whole=True).withColumn("rank", F.row_number().over(order).cast("long")), rank="rank", distance=30.0, strict=False)
 
 
 @query("CLU_03_first_come")
 def _(v: Views) -> DataFrame:
-    return assign.suppress(v.predd(), rank="pos", distance=60.0, strict=True)
+    return assign.suppress(v.predd(whole=True), rank="pos", distance=60.0, strict=True)
 
 
 PARTS = """inner_ AS (SELECT sheet_id, node FROM sym WHERE cls IN ('connector', 'crossing', 'arrow')), be AS (SELECT sheet_id, a, b FROM pair UNION SELECT sheet_id, b, a FROM pair),

@@ -2,8 +2,11 @@
 
 import pytest
 from compare import SF_DIR, connect, differ
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sheetweave.plans import registry
+from sheetweave.plans.fixtures import Views
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +28,23 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_suppression_reads_every_row(spark, con):
+    """Clusters of all rows of lineitem, by brute force: their members add up, and points that stay lie apart and cover the rest."""
+    v = Views(spark, SF_DIR)
+    n = con.execute("SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey").fetchone()[0]
+    assert registry.QUERIES["CLU_01_stitch"](spark, SF_DIR).agg({"n_members": "sum"}).first()[0] == n
+    order = Window.partitionBy("sheet_id").orderBy(F.col("conf").isNull(), F.col("conf").desc(), "pos")
+    points = v.predd(whole=True).withColumn("rank", F.row_number().over(order)).toPandas()
+    assert len(points) == n
+    for name, rank, limit, strict in (("CLU_02_suppress", "rank", 30, False), ("CLU_03_first_come", "pos", 60, True)):
+        got = {(r["sheet_id"], r[rank]) for r in registry.QUERIES[name](spark, SF_DIR).collect()}
+        want = set()
+        for sheet, g in points.sort_values(rank).groupby("sheet_id"):
+            kept = []
+            for k, x, y in g[[rank, "px", "py"]].itertuples(index=False):
+                if all((x - a) ** 2 + (y - b) ** 2 >= limit**2 + (not strict) for a, b in kept):
+                    kept.append((x, y))
+                    want.add((sheet, k))
+        assert got == want, name
