@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetweave.llm.common import crc_mod, read, shared_dir
-from sheetweave.llm.jaccard import join_near
+from sheetweave.llm.jaccard import near_rows
 from sheetweave.llm.mixing import mix
 from sheetweave.llm.packing import pack
 from sheetweave.llm.pseudonyms import pseudonymise
@@ -27,11 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; documents without an id stay."""
-    stays = join_near(docs).where("kept").select(F.col("doc_id").alias("_stays"))
-    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
-    once = kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])  # rows that repeat id and text
-    return once.drop("_h")
+    """One document of each group, the one with the smallest id; ids may be null or repeated. Documents without words stay."""
+    stays = near_rows(docs).where("stays").select(F.col("doc_id").alias("_stays"), F.col("text_hash").alias("_of"))
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    kept = hashed.join(stays, (F.col("_h") == F.col("_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")  # rows that repeat id and text
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

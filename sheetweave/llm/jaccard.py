@@ -95,23 +95,23 @@ def set_hashes(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mixed(sums * M2 + counts[full].astype(np.uint64)).view(np.int64)
 
 
-SIGNED = "doc_id long, n long, rep long, keys array<long>"
+SIGNED = "doc_id long, text_hash long, n long, rep long, keys array<long>"
 
 
 def sign(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """doc_id, number of shingles, a hash of the set, and a key for each tree (null without shingles)."""
+    """doc_id, a hash of the text, number of shingles, a hash of the set, and a key for each tree (null without shingles)."""
     def run(batches: Iterator) -> Iterator:
         schema = arrow_schema(SIGNED)
         for batch in batches:
             for lo, hi in slices(batch.column(1), 1 << 20):
-                names = batch.column(0).slice(lo, hi - lo).to_pylist()
+                names, texts = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 2))
                 v, c = shingles([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
                 keys = iter(signatures(v, c, trees, depth).view(np.int64))
                 sets = iter(set_hashes(v, c).tolist())
-                rows = [(d, int(n), next(sets) if n else None, next(keys) if n else None) for d, n in zip(names, c, strict=True)]
+                rows = [(d, t, int(n), next(sets) if n else None, next(keys) if n else None) for d, t, n in zip(names, texts, c, strict=True)]
                 yield arrow_batch(rows, schema)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash").mapInArrow(run, SIGNED)
 
 
 def overlaps(values: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray, wide: int = 4096) -> np.ndarray:
@@ -232,10 +232,15 @@ def with_shingles(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, kind)
 
 
-def join_near(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = 24, target: float = 0.999, block: int = 512, block_shingles: int = 1 << 19) -> DataFrame:
+def join_near(docs: DataFrame, **options: float) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (smallest id reachable by links), n_links (documents linked directly, copies included), class_size (copies, itself included), kept (whether it is the one that stays)."""
+    return near_rows(docs, **options).drop("text_hash", "stays")
+
+
+def near_rows(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = 24, target: float = 0.999, block: int = 512, block_shingles: int = 1 << 19) -> DataFrame:
+    """As join_near, with text_hash and stays: by id and text, one document of each component stays, whether or not it has an id of its own."""
     signed = saved(sign(docs, trees, depth_for(threshold, trees, target)))
-    reps = saved(signed.where("n > 0").groupBy("rep").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    reps = saved(signed.where("n > 0").groupBy("rep").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     slim = reps.select("rep", "n", F.posexplode("keys").alias("tree", "key"))
     groups = slim.groupBy("tree", "key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")).where("m > 1")
     once = groups.groupBy("m", "x1", "x2").agg(F.min(F.struct("tree", "key", "total")).alias("g")).select("g.*", "m")
@@ -252,9 +257,9 @@ def join_near(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = 24,
     found = saved(verify(tasks.repartition("tree", "group", "i", "j").sortWithinPartitions("tree", "group", "i", "j"), threshold))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select("rep", "root"))
-    of_rep = reps.select("rep", "first_id", "size").join(links, "rep", "left").join(parts, F.col("rep") == F.col("id"), "left").select("rep", "first_id", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("part"))
-    least = saved(of_rep.groupBy("part").agg(F.min("first_id").alias("class_id")))  # saved, so that the join can split a large part
-    of_rep = of_rep.join(least, "part").select("rep", "class_id", "size", "links")
-    out = signed.where("n > 0").join(of_rep, "rep").select("doc_id", F.col("n").alias("n_shingles"), "class_id", (F.col("size") - 1 + F.col("links")).alias("n_links"), F.col("size").alias("class_size"))
-    alone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
+    of_rep = reps.select("rep", "first", "size").join(links, "rep", "left").join(parts, F.col("rep") == F.col("id"), "left").select("rep", "first", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("part"))
+    least = saved(of_rep.groupBy("part").agg(F.min("first").alias("least")))  # saved, so that the join can split a large part
+    of_rep = of_rep.join(least, "part").select("rep", "least", "size", "links")
+    out = signed.where("n > 0").join(of_rep, "rep").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("class_id"), (F.col("size") - 1 + F.col("links")).alias("n_links"), F.col("size").alias("class_size"), (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))).alias("stays"))
+    alone = signed.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
     return out.unionByName(alone).withColumn("kept", F.when(F.col("class_id").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))))

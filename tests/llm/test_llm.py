@@ -408,6 +408,22 @@ def test_chat_offsets():
 
 # --- pipeline ---
 
+def test_near_duplicates_odd_ids(spark):
+    """One row of each component stays, whatever the ids: null in part or in whole, or used for another text too."""
+    import corpus_pipeline as cp
+
+    texts = near_texts() + [words(80, 900), words(80, 900), None, ""]
+    comp = brute_near(texts)[1]
+    n = len(texts)
+    of = {t: comp[i] for i, t in enumerate(texts)}
+    for ids in ([None] * n, [None if i % 3 else i for i in range(n)], [i % 5 for i in range(n)], [5 if i % 2 else None for i in range(n)]):
+        left = cp.near_duplicates(spark, docs_frame(spark, texts, ids=ids), "").collect()
+        assert Counter(of[r["text"]] for r in left) == Counter(set(comp))
+        for r in left:
+            group = [ids[i] for i in range(n) if comp[i] == of[r["text"]]]
+            assert r["doc_id"] == min((i for i in group if i is not None), default=None)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
