@@ -1,10 +1,10 @@
-"""Near-duplicate documents: Jaccard join of word n-grams through a MinHash LSH forest.
+"""Near-duplicate documents: Jaccard join of word n-grams by MinHash bands.
 
 A document is the set of its shingles, runs of five words (all its words, if it has fewer), after
-lower-casing. Documents with the same set form a class and go on as one. Each of ``trees`` sorted prefix tries
-holds the classes by ``depth`` MinHash values; the prefix that must match is shortened from ``depth`` until a
-pair at the threshold is found with at least the target recall, and classes under one prefix are candidates. A pair
-belongs to the first trie where its prefixes match, so it is counted once; groups with the same members are
+lower-casing. Documents with the same set form a class and go on as one. Each of ``trees`` bands
+hashes ``depth`` MinHash values to one key, and classes with the same key are candidates. No tries are kept and no
+prefix is shortened on the data: ``depth`` is worked out beforehand, as the longest that finds a pair at the
+threshold with at least the target recall. A pair belongs to the first band where its keys match, so it is counted once; groups with the same members are
 compared once. Groups are cut into blocks of bounded size, and every pair of blocks is a task of its own: the
 shingles are intersected exactly (products of 0/1 matrices), and a task gives, per class, the number of links
 and a spanning star of what hangs together, never the pairs. Components follow from the stars.
@@ -33,10 +33,12 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def depth_for(threshold: float, trees: int, target: float, deepest: int = 10) -> int:
-    """The longest prefix that finds a pair at the threshold with the target recall."""
+    """The longest prefix that finds a pair at the threshold with the target recall; an error if none does."""
     for depth in range(deepest, 1, -1):
         if 1 - (1 - threshold**depth) ** trees >= target:
             return depth
+    if 1 - (1 - threshold) ** trees < target:
+        raise ValueError(f"{trees} trees find a pair at {threshold} with a recall under {target} at any depth; use more trees")
     return 1
 
 

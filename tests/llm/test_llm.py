@@ -333,6 +333,12 @@ def test_prefix_shortens_to_the_recall():
         assert 1 - (1 - 0.8**d) ** 24 >= target > 1 - (1 - 0.8 ** (d + 1)) ** 24
 
 
+def test_a_recall_out_of_reach_is_an_error():
+    assert jaccard.depth_for(0.3, 24, 0.999) == 1
+    with pytest.raises(ValueError, match="more trees"):
+        jaccard.depth_for(0.2, 24, 0.999)
+
+
 # --- op9 ---
 
 def test_targets():
