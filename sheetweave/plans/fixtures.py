@@ -1,5 +1,8 @@
 """Drawing-shaped views over the driver's tables, for queries and for the SQL that checks them.
 
+A hundred parts make a drawing. For queries that read lineitem it exists in ``ISSUES`` issues, each a sheet of its
+own: all rows of lineitem are detections and edges of the issue that their order picks, so a sheet has about 75 of
+either at every scale. Other queries read one issue.
 Coordinates come from integer arithmetic, so every engine derives the same rows.
 """
 
@@ -12,6 +15,12 @@ from pyspark.sql.window import Window
 CLASSES = {"STANDARD": "valve", "SMALL": "instrumentation", "LARGE": "tank", "ECONOMY": "general", "MEDIUM": "connector", "PROMO": "crossing"}
 
 
+#: Sheets of one drawing: lineitem has 30 rows for each part, and a sheet of 100 parts gets 3000 / 40 of them.
+ISSUES = 40
+#: What is added to the id of a claim's end that is on another page.
+OFF_PAGE = 10**12
+
+
 def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), index.cast("int") + 1)
 
@@ -19,41 +28,47 @@ def _pick(values: list[str], index: Column) -> Column:
 class Views:
     """The views of one scale factor."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, issues: int = ISSUES) -> None:
+        self.spark, self.sf_dir, self.issues = spark, sf_dir, issues
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sym(self, wide: int = 4000, high: int = 3000) -> DataFrame:
-        k, s = F.col("p_partkey"), F.col("p_size")
-        x0, y0 = (k * 7919 % wide).cast("double"), (k * 6007 % high).cast("double")
+        k, n, s = F.col("p_partkey"), F.col("node"), F.col("p_size")
+        sheet = F.floor(k / 100) * self.issues + F.col("issue")
+        parts = self.table("part").select("p_partkey", "p_size", "p_type")
+        parts = parts.repartition(self.spark.sparkContext.defaultParallelism, "p_partkey") if self.issues > 1 else parts  # before it grows
+        rows = parts.withColumn("issue", F.explode(F.sequence(F.lit(0), F.lit(self.issues - 1)))).withColumn("sheet_id", sheet).withColumn("node", sheet * 100 + k % 100)
+        x0, y0 = (n * 7919 % wide).cast("double"), (n * 6007 % high).cast("double")
         cls = F.element_at(F.create_map(*(F.lit(x) for kv in CLASSES.items() for x in kv)), F.col("p_type"))
         tag = F.concat(_pick(["PSV", "LSHL", "MBD", "PBA"], s % 4), F.lit("-"), F.lpad((k % 1000).cast("string"), 4, "0"), _pick(["A", "B", ""], s % 3))
-        return self.table("part").select(F.floor(k / 100).alias("sheet_id"), k.alias("node"), x0.alias("x0"), y0.alias("y0"), (x0 + 20 + s).alias("x1"), (y0 + 20 + s * 7 % 40).alias("y1"), cls.alias("cls"), tag.alias("tag"))
+        return rows.select("sheet_id", "node", x0.alias("x0"), y0.alias("y0"), (x0 + 20 + s).alias("x1"), (y0 + 20 + s * 7 % 40).alias("y1"), cls.alias("cls"), tag.alias("tag"))
+
+    def lines(self) -> DataFrame:
+        """All rows of lineitem with their sheet and node."""
+        sheet = F.floor(F.col("l_partkey") / 100) * ISSUES + F.col("l_orderkey") % ISSUES
+        return self.table("lineitem").withColumn("sheet_id", sheet).withColumn("node", sheet * 100 + F.col("l_partkey") % 100)
 
     def symd(self) -> DataFrame:
         return self.sym(600, 450)
 
-    def pred(self, dense: bool = False, whole: bool = False) -> DataFrame:
-        """Detections: of every row of lineitem if whole, else of the rows that the SQL reads."""
-        lines = self.table("lineitem")
-        lines = lines if whole else lines.where("l_linenumber = 1 and l_orderkey % 10 = 0")
-        rows = lines.join(self.symd() if dense else self.sym(), F.col("l_partkey") == F.col("node"))
+    def pred(self, dense: bool = False) -> DataFrame:
+        """Detections: of every row of lineitem."""
+        rows = self.lines().join(self.symd() if dense else self.sym(), ["sheet_id", "node"])
         order = Window.partitionBy("sheet_id").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
         px = F.col("x0") + (F.col("l_suppkey") * 31 + F.col("l_orderkey") * 17) % 90 - 20
         py = F.col("y0") + (F.col("l_suppkey") * 13 + F.col("l_orderkey") * 29) % 80 - 15
         conf = F.when(F.col("l_returnflag") != "N", F.round(F.col("l_discount") * 100).cast("int"))
         return rows.select("sheet_id", F.row_number().over(order).cast("long").alias("pos"), px.alias("px"), py.alias("py"), conf.alias("conf"), "cls")
 
-    def predd(self, whole: bool = False) -> DataFrame:
-        return self.pred(dense=True, whole=whole)
+    def predd(self) -> DataFrame:
+        return self.pred(dense=True)
 
     def edge(self) -> DataFrame:
-        a = F.col("l_partkey")
-        b = F.floor(a / 100) * 100 + (a + 1 + F.col("l_suppkey") % 97) % 100
+        b = F.col("sheet_id") * 100 + (F.col("l_partkey") + 1 + F.col("l_suppkey") % 97) % 100
         style = F.when(F.col("l_returnflag") == "R", "dashed").otherwise("solid")
-        return self.table("lineitem").where("l_linenumber = 1 and l_orderkey % 5 = 0").select(F.floor(a / 100).alias("sheet_id"), a.alias("a"), b.alias("b"), style.alias("line_type")).distinct()
+        return self.lines().select("sheet_id", F.col("node").alias("a"), b.alias("b"), style.alias("line_type")).distinct()
 
     def word(self) -> DataFrame:
         n = F.col("node")
@@ -78,7 +93,7 @@ class Views:
     def claim(self) -> DataFrame:
         a, b = F.col("a"), F.col("b")
         kind = _pick(["feeds", "relieves_to", "actuates", "signal_to", "hosted_by", "on_line"], a % 6)
-        return self.edge().select("sheet_id", kind.alias("kind"), a.alias("a"), F.when((a + b) % 7 == 0, b + 1000000).otherwise(b).alias("b")).distinct()
+        return self.edge().select("sheet_id", kind.alias("kind"), a.alias("a"), F.when((a + b) % 7 == 0, b + OFF_PAGE).otherwise(b).alias("b")).distinct()
 
     def tagset(self) -> DataFrame:
         n = F.col("node")
@@ -87,18 +102,22 @@ class Views:
         return self.sym().select("sheet_id", "node", cut.alias("truth"), (n % 3 != 0).alias("in_truth"), text.alias("found"), (n % 4 != 0).alias("in_found"))
 
 
-def _sym(wide: int, high: int) -> str:
+def _sym(wide: int, high: int, issues: int = 1) -> str:
     cls = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CLASSES.items())
-    return f"""SELECT p_partkey // 100 AS sheet_id, p_partkey AS node, CAST(p_partkey * 7919 % {wide} AS DOUBLE) AS x0, CAST(p_partkey * 6007 % {high} AS DOUBLE) AS y0,
-  CAST(p_partkey * 7919 % {wide} + 20 + p_size AS DOUBLE) AS x1, CAST(p_partkey * 6007 % {high} + 20 + p_size * 7 % 40 AS DOUBLE) AS y1, CASE p_type {cls} END AS cls,
-  ['PSV', 'LSHL', 'MBD', 'PBA'][p_size % 4 + 1] || '-' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 4, '0') || ['A', 'B', ''][p_size % 3 + 1] AS tag FROM part"""
+    return f"""SELECT sheet_id, node, CAST(node * 7919 % {wide} AS DOUBLE) AS x0, CAST(node * 6007 % {high} AS DOUBLE) AS y0,
+  CAST(node * 7919 % {wide} + 20 + p_size AS DOUBLE) AS x1, CAST(node * 6007 % {high} + 20 + p_size * 7 % 40 AS DOUBLE) AS y1, CASE p_type {cls} END AS cls,
+  ['PSV', 'LSHL', 'MBD', 'PBA'][p_size % 4 + 1] || '-' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 4, '0') || ['A', 'B', ''][p_size % 3 + 1] AS tag
+  FROM (SELECT *, (p_partkey // 100 * {issues} + issue) * 100 + p_partkey % 100 AS node, p_partkey // 100 * {issues} + issue AS sheet_id FROM part, (SELECT unnest(range({issues})) AS issue))"""
+
+
+LINES = f"(SELECT *, l_partkey // 100 * {ISSUES} + l_orderkey % {ISSUES} AS sheet_id, (l_partkey // 100 * {ISSUES} + l_orderkey % {ISSUES}) * 100 + l_partkey % 100 AS node FROM lineitem)"
 
 
 def _pred(sym: str) -> str:
     return f"""SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS pos,
   x0 + (l_suppkey * 31 + l_orderkey * 17) % 90 - 20 AS px, y0 + (l_suppkey * 13 + l_orderkey * 29) % 80 - 15 AS py,
   CASE WHEN l_returnflag <> 'N' THEN CAST(round(l_discount * 100) AS INTEGER) END AS conf, cls
-  FROM lineitem JOIN {sym} ON l_partkey = node WHERE l_linenumber = 1 AND l_orderkey % 10 = 0"""
+  FROM {LINES} JOIN {sym} USING (sheet_id, node)"""
 
 
 SQL_VIEWS = {
@@ -106,7 +125,7 @@ SQL_VIEWS = {
     "symd": _sym(600, 450),
     "pred": _pred("sym"),
     "predd": _pred("symd"),
-    "edge": "SELECT DISTINCT l_partkey // 100 AS sheet_id, l_partkey AS a, l_partkey // 100 * 100 + (l_partkey + 1 + l_suppkey % 97) % 100 AS b, CASE WHEN l_returnflag = 'R' THEN 'dashed' ELSE 'solid' END AS line_type FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 = 0",
+    "edge": f"SELECT DISTINCT sheet_id, node AS a, sheet_id * 100 + (l_partkey + 1 + l_suppkey % 97) % 100 AS b, CASE WHEN l_returnflag = 'R' THEN 'dashed' ELSE 'solid' END AS line_type FROM {LINES}",
     "word": "SELECT sheet_id, node AS pos, tag AS text, x0 + node * 37 % 160 - 40 AS x0, y0 + node * 53 % 120 - 30 AS y0, x1 + node * 37 % 160 - 40 AS x1, y1 + node * 53 % 120 - 30 AS y1 FROM sym",
     "answer": """SELECT sheet_id, node, CASE node % 5
   WHEN 0 THEN 'Sure.' || chr(10) || '```json' || chr(10) || '{"keep": ' || CASE WHEN node % 2 = 0 THEN 'true' ELSE 'false' END || ', "confidence": 0.5, "verdict": "' || CASE WHEN node % 3 = 0 THEN 'confirmed' ELSE 'rejected' END || '"}' || chr(10) || '```'
@@ -114,7 +133,7 @@ SQL_VIEWS = {
   WHEN 3 THEN '<points x coords="1 ' || node % 1000 || ' 250 2 500 ' || node * 7 % 1000 || '"/>'
   ELSE '[[' || node % 50 || ', 10, ' || (node % 50 + 30) || ', 40, valve, 0:9]]' END AS text FROM sym""",
     "parent": "SELECT sheet_id, a AS node, min(b) AS parent FROM edge GROUP BY sheet_id, a",
-    "claim": "SELECT DISTINCT sheet_id, ['feeds', 'relieves_to', 'actuates', 'signal_to', 'hosted_by', 'on_line'][a % 6 + 1] AS kind, a, CASE WHEN (a + b) % 7 = 0 THEN b + 1000000 ELSE b END AS b FROM edge",
+    "claim": f"SELECT DISTINCT sheet_id, ['feeds', 'relieves_to', 'actuates', 'signal_to', 'hosted_by', 'on_line'][a % 6 + 1] AS kind, a, CASE WHEN (a + b) % 7 = 0 THEN b + {OFF_PAGE} ELSE b END AS b FROM edge",
     "tagset": "SELECT sheet_id, node, regexp_replace(upper(tag), '[^A-Z0-9]', '', 'g') AS truth, node % 3 <> 0 AS in_truth, CASE WHEN node % 8 = 1 THEN 'XQ' ELSE '' END || regexp_replace(upper(tag), '[^A-Z0-9]', '', 'g') AS found, node % 4 <> 0 AS in_found FROM sym",
     "pair": "SELECT sheet_id, least(a, b) AS a, greatest(a, b) AS b, max(line_type = 'dashed') AS dashed FROM edge GROUP BY sheet_id, least(a, b), greatest(a, b)",
 }
@@ -126,5 +145,11 @@ def sql(body: str, *views: str, recursive: bool = False) -> str:
     order: list[str] = []
     for v in views:
         order += [x for x in (*NEEDS.get(v, []), v) if x not in order]
-    head = ", ".join(f"{v} AS ({SQL_VIEWS[v]})" for v in order)
+    issued = {"sym": _sym(4000, 3000, ISSUES), "symd": _sym(600, 450, ISSUES)} if any(LINES in SQL_VIEWS[v] or "edge" in NEEDS.get(v, []) for v in order) else {}
+    head = ", ".join(f"{v} AS ({issued.get(v, SQL_VIEWS[v])})" for v in order)
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}{', ' if body.lstrip()[:4] == 'AND ' else ' '}{body.lstrip().removeprefix('AND ')}"
+
+
+def issues_of(check: str | None) -> int:
+    """How many issues the views have for a query, given its SQL."""
+    return ISSUES if check is None or "FROM lineitem" in check else 1

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from sheetweave.functions.geometry import Box, area, box, center, contained, distance2, gap, inside, iou
 from sheetweave.functions.text import AGENT_TYPES, alnum, mapped, series, series_disagree
 from sheetweave.operators import assign, graphs, metrics, spatial, tiling
-from sheetweave.plans.fixtures import Views, sql
+from sheetweave.plans.fixtures import Views, issues_of, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,7 +21,7 @@ PASSING = ("connector", "crossing", "arrow")
 
 def query(name: str, check: str | None = None):  # noqa: ANN201
     def keep(run: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: run(Views(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: run(Views(spark, sf_dir, issues_of(check)))
         if check:
             SQL[name] = check
         return run
@@ -84,12 +84,13 @@ def _(v: Views) -> DataFrame:
     return assign.best_first(iou_pairs(v), score="iou", left="pos", right="node")
 
 
-@query("JOI_04_relation_match", sql("AND t AS (SELECT DISTINCT sheet_id, a, b FROM pair), p AS (SELECT sheet_id, kind, a, b, least(a, b) AS x, greatest(a, b) AS y, row_number() OVER (PARTITION BY sheet_id, least(a, b), greatest(a, b) ORDER BY kind, a, b) AS r FROM claim WHERE a % 3 <> 0 AND b % 3 <> 0) SELECT p.sheet_id, p.kind, p.a, p.b, t.a IS NOT NULL AND r = 1 AS tp FROM p LEFT JOIN t ON t.sheet_id = p.sheet_id AND t.a = x AND t.b = y", "pair", "claim"))
+@query("JOI_04_relation_match", sql("AND t AS (SELECT DISTINCT sheet_id, a, b FROM pair), p AS (SELECT sheet_id, kind, a, b, least(a, b) AS x, greatest(a, b) AS y, row_number() OVER (PARTITION BY sheet_id, least(a, b), greatest(a, b) ORDER BY kind, a, b) AS r FROM claim WHERE a IN (SELECT node FROM sym WHERE x1 - x0 > 30) AND b IN (SELECT node FROM sym WHERE x1 - x0 > 30)) SELECT p.sheet_id, p.kind, p.a, p.b, t.a IS NOT NULL AND r = 1 AS tp FROM p LEFT JOIN t ON t.sheet_id = p.sheet_id AND t.a = x AND t.b = y", "sym", "pair", "claim"))
 def _(v: Views) -> DataFrame:
-    """Claims whose ends were matched; each true edge is credited once."""
+    """Claims whose ends were matched (symbols wider than 30 px are); each true edge is credited once."""
+    own = lambda n: v.sym().where(box().width > 30).select(F.col("node").alias(n))
     truth = graphs.canonical(v.edge()).select("sheet_id", F.col("a").alias("x"), F.col("b").alias("y")).distinct().withColumn("_t", F.lit(True))
     order = Window.partitionBy("sheet_id", "x", "y").orderBy("kind", "a", "b")
-    p = v.claim().where("a % 3 <> 0 and b % 3 <> 0").select("sheet_id", "kind", "a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).withColumn("r", F.row_number().over(order))
+    p = v.claim().join(own("a"), "a", "left_semi").join(own("b"), "b", "left_semi").select("sheet_id", "kind", "a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).withColumn("r", F.row_number().over(order))
     return p.join(truth, ["sheet_id", "x", "y"], "left").select("sheet_id", "kind", "a", "b", (F.col("_t").isNotNull() & (F.col("r") == 1)).alias("tp"))
 
 
@@ -294,7 +295,7 @@ def hits(v: Views) -> DataFrame:
     return v.predd().where("conf is not null").withColumn("rank", F.row_number().over(order).cast("long")).join(got, ["sheet_id", "rank"], "left").select("sheet_id", "rank", F.col("_hit").isNotNull().alias("hit"))
 
 
-@query("AGG_02_average_precision", sql(f"""AND {GREEDY}, h AS (SELECT s.sheet_id, s.rank, s.node IS NOT NULL AS hit FROM steps s JOIN r ON r.sheet_id = s.sheet_id AND r.rank = s.rank WHERE conf IS NOT NULL),
+@query("AGG_02_average_precision", sql(f"""AND {GREEDY}, h AS MATERIALIZED (SELECT s.sheet_id, s.rank, s.node IS NOT NULL AS hit FROM steps s JOIN r ON r.sheet_id = s.sheet_id AND r.rank = s.rank WHERE conf IS NOT NULL),
   g AS (SELECT sheet_id, count(*) AS n FROM symd GROUP BY sheet_id), a AS (SELECT h.sheet_id, rank, CAST(count(*) FILTER (WHERE hit) OVER w AS DOUBLE) AS m, n FROM h JOIN g ON g.sheet_id = h.sheet_id WINDOW w AS (PARTITION BY h.sheet_id ORDER BY rank)),
   b AS (SELECT sheet_id, rank, m / n AS rc, max(m / rank) OVER (PARTITION BY sheet_id ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pr FROM a),
   d AS (SELECT sheet_id, pr * (rc - coalesce(lag(rc) OVER (PARTITION BY sheet_id ORDER BY rank), 0)) AS x FROM b) SELECT g.sheet_id, round(sum(x), 9) AS ap FROM g LEFT JOIN d ON d.sheet_id = g.sheet_id GROUP BY g.sheet_id""", "symd", "predd", recursive=True))
@@ -335,10 +336,10 @@ def _(v: Views) -> DataFrame:
     return graphs.canonical(v.edge()).select("sheet_id", "a", "b").distinct().join(own("a"), "a").join(own("b"), "b").select("sheet_id", "a", "b", metrics.stratum(F.col("ca"), F.col("cb")).alias("stratum"))
 
 
-@query("AGG_09_agreement", sql("AND c AS (SELECT DISTINCT sheet_id, least(a, b) AS a, greatest(a, b) AS b FROM claim WHERE b < 1000000), g AS (SELECT * FROM pair WHERE a % 2 = 0), u AS (SELECT coalesce(c.sheet_id, g.sheet_id) AS sheet_id, c.a IS NOT NULL AS ic, g.a IS NOT NULL AS ig FROM c FULL JOIN g ON c.sheet_id = g.sheet_id AND c.a = g.a AND c.b = g.b) SELECT sheet_id, count(*) FILTER (WHERE ic AND ig) AS agreed, count(*) FILTER (WHERE ic AND NOT ig) AS llm_only, count(*) FILTER (WHERE ig AND NOT ic) AS geometry_only, coalesce(CAST(count(*) FILTER (WHERE ic AND ig) AS DOUBLE) / nullif(count(*) FILTER (WHERE ic), 0), 0) AS rate_llm, coalesce(CAST(count(*) FILTER (WHERE ic AND ig) AS DOUBLE) / nullif(count(*) FILTER (WHERE ig), 0), 0) AS rate_geometry FROM u GROUP BY sheet_id", "claim", "pair"))
+@query("AGG_09_agreement", sql("AND c AS (SELECT DISTINCT sheet_id, least(a, b) AS a, greatest(a, b) AS b FROM claim WHERE b < 1000000000000), g AS (SELECT * FROM pair WHERE NOT dashed), u AS (SELECT coalesce(c.sheet_id, g.sheet_id) AS sheet_id, c.a IS NOT NULL AS ic, g.a IS NOT NULL AS ig FROM c FULL JOIN g ON c.sheet_id = g.sheet_id AND c.a = g.a AND c.b = g.b) SELECT sheet_id, count(*) FILTER (WHERE ic AND ig) AS agreed, count(*) FILTER (WHERE ic AND NOT ig) AS llm_only, count(*) FILTER (WHERE ig AND NOT ic) AS geometry_only, coalesce(CAST(count(*) FILTER (WHERE ic AND ig) AS DOUBLE) / nullif(count(*) FILTER (WHERE ic), 0), 0) AS rate_llm, coalesce(CAST(count(*) FILTER (WHERE ic AND ig) AS DOUBLE) / nullif(count(*) FILTER (WHERE ig), 0), 0) AS rate_geometry FROM u GROUP BY sheet_id", "claim", "pair"))
 def _(v: Views) -> DataFrame:
-    c = graphs.canonical(v.claim().where("b < 1000000").select("sheet_id", "a", "b")).distinct().withColumn("_c", F.lit(1))
-    g = graphs.canonical(v.edge().select("sheet_id", "a", "b")).where("a % 2 = 0").distinct().withColumn("_g", F.lit(1))
+    c = graphs.canonical(v.claim().where("b < 1000000000000").select("sheet_id", "a", "b")).distinct().withColumn("_c", F.lit(1))
+    g = graphs.canonical(v.edge()).groupBy("sheet_id", "a", "b").agg(F.bool_or(F.col("line_type") == "dashed").alias("dashed")).where("not dashed").select("sheet_id", "a", "b", F.lit(1).alias("_g"))
     ic, ig = F.col("_c").isNotNull(), F.col("_g").isNotNull()
     n = c.join(g, ["sheet_id", "a", "b"], "full").groupBy("sheet_id").agg(F.count_if(ic & ig).alias("agreed"), F.count_if(ic & ~ig).alias("llm_only"), F.count_if(ig & ~ic).alias("geometry_only"))
     return n.select("*", metrics.ratio(F.col("agreed"), F.col("agreed") + F.col("llm_only")).alias("rate_llm"), metrics.ratio(F.col("agreed"), F.col("agreed") + F.col("geometry_only")).alias("rate_geometry"))
@@ -449,9 +450,9 @@ def _(v: Views) -> DataFrame:
     return v.pred().select("sheet_id", "pos", F.row_number().over(Window.partitionBy("sheet_id").orderBy(F.col("conf").desc_nulls_last(), "pos")).alias("rank"))
 
 
-@query("WIN_05_worklist_order", sql("SELECT sheet_id, kind, a, b, row_number() OVER (PARTITION BY sheet_id ORDER BY b >= 1000000 DESC, kind = 'feeds' DESC, a DESC, kind, b) AS idx FROM claim", "claim"))
+@query("WIN_05_worklist_order", sql("SELECT sheet_id, kind, a, b, row_number() OVER (PARTITION BY sheet_id ORDER BY b >= 1000000000000 DESC, kind = 'feeds' DESC, a DESC, kind, b) AS idx FROM claim", "claim"))
 def _(v: Views) -> DataFrame:
-    w = Window.partitionBy("sheet_id").orderBy((F.col("b") >= 1000000).desc(), (F.col("kind") == "feeds").desc(), F.col("a").desc(), "kind", "b")
+    w = Window.partitionBy("sheet_id").orderBy((F.col("b") >= 1000000000000).desc(), (F.col("kind") == "feeds").desc(), F.col("a").desc(), "kind", "b")
     return v.claim().select("sheet_id", "kind", "a", "b", F.row_number().over(w).alias("idx"))
 
 
@@ -483,9 +484,9 @@ def _(v: Views) -> DataFrame:
     return e.intersect(c).withColumn("part", F.lit("both")).unionByName(e.subtract(c).withColumn("part", F.lit("edge_only")))
 
 
-@query("SET_02_first_evidence", sql("AND u AS (SELECT sheet_id, least(a, b) AS a, greatest(a, b) AS b, 1 AS pass_no FROM claim WHERE b < 1000000 UNION ALL SELECT sheet_id, a, b, 2 FROM pair) SELECT sheet_id, a, b, min(pass_no) AS pass_no FROM u GROUP BY sheet_id, a, b", "claim", "pair"))
+@query("SET_02_first_evidence", sql("AND u AS (SELECT sheet_id, least(a, b) AS a, greatest(a, b) AS b, 1 AS pass_no FROM claim WHERE b < 1000000000000 UNION ALL SELECT sheet_id, a, b, 2 FROM pair) SELECT sheet_id, a, b, min(pass_no) AS pass_no FROM u GROUP BY sheet_id, a, b", "claim", "pair"))
 def _(v: Views) -> DataFrame:
-    return graphs.first_evidence(v.claim().where("b < 1000000").select("sheet_id", "a", "b", F.lit(1).alias("pass_no")).unionByName(v.edge().select("sheet_id", "a", "b", F.lit(2).alias("pass_no"))))
+    return graphs.first_evidence(v.claim().where("b < 1000000000000").select("sheet_id", "a", "b", F.lit(1).alias("pass_no")).unionByName(v.edge().select("sheet_id", "a", "b", F.lit(2).alias("pass_no"))))
 
 
 @query("SET_03_arm_union", sql("SELECT DISTINCT sheet_id, found AS tag FROM tagset WHERE in_found UNION SELECT sheet_id, truth FROM tagset WHERE node % 5 = 0", "tagset"))
@@ -553,18 +554,18 @@ def _(v: Views) -> DataFrame:
 
 @query("CLU_01_stitch")
 def _(v: Views) -> DataFrame:
-    return assign.anchor_clusters(v.predd(whole=True))
+    return assign.anchor_clusters(v.predd())
 
 
 @query("CLU_02_suppress")
 def _(v: Views) -> DataFrame:
     order = Window.partitionBy("sheet_id").orderBy(F.col("conf").isNull(), F.col("conf").desc(), "pos")
-    return assign.suppress(v.predd(whole=True).withColumn("rank", F.row_number().over(order).cast("long")), rank="rank", distance=30.0, strict=False)
+    return assign.suppress(v.predd().withColumn("rank", F.row_number().over(order).cast("long")), rank="rank", distance=30.0, strict=False)
 
 
 @query("CLU_03_first_come")
 def _(v: Views) -> DataFrame:
-    return assign.suppress(v.predd(whole=True), rank="pos", distance=60.0, strict=True)
+    return assign.suppress(v.predd(), rank="pos", distance=60.0, strict=True)
 
 
 PARTS = """inner_ AS (SELECT sheet_id, node FROM sym WHERE cls IN ('connector', 'crossing', 'arrow')), be AS (SELECT sheet_id, a, b FROM pair UNION SELECT sheet_id, b, a FROM pair),
@@ -607,7 +608,7 @@ def segments(v: Views) -> DataFrame:
     own = lambda n, x, y: v.sym().select(F.col("node").alias(n), center(box())[0].alias(x), center(box())[1].alias(y))
     e = v.edge().select("sheet_id", "a", "b").distinct().join(own("a", "ax", "ay"), "a").join(own("b", "bx", "by"), "b")
     legs = F.posexplode(F.array(F.struct(F.col("ax").alias("ax"), F.col("ay").alias("ay"), F.col("bx").alias("bx"), F.col("ay").alias("by")), F.struct(F.col("bx").alias("ax"), F.col("ay").alias("ay"), F.col("bx").alias("bx"), F.col("by").alias("by"))))
-    return e.select("sheet_id", "a", "b", legs.alias("leg", "l")).select("sheet_id", (F.col("a") * 1000000 + F.col("b") * 2 + F.col("leg")).alias("seg"), "l.*").where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) > 1)
+    return e.select("sheet_id", "a", "b", legs.alias("leg", "l")).select("sheet_id", (F.col("a") * 200 + F.col("b") % 100 * 2 + F.col("leg")).alias("seg"), "l.*").where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) > 1)
 
 
 @query("GRF_04_endpoint_merge")
@@ -637,9 +638,7 @@ def _(v: Views) -> DataFrame:
     return assign.break_cycles(parents)
 
 
-@query("GRF_14_break_cycles", sql("""AND up AS (SELECT s.node, p.parent FROM sym s JOIN parent p ON p.node = s.node JOIN sym q ON q.node = p.parent AND q.node <> s.node), w(start, node, path) AS (SELECT node, parent, [node] FROM up UNION ALL SELECT w.start, up.parent, list_append(w.path, up.node) FROM w JOIN up ON up.node = w.node WHERE w.node <> w.start AND NOT list_contains(w.path, w.node)),
-  ring AS (SELECT start, list_sort(path) AS members FROM w WHERE node = start), root AS (SELECT DISTINCT members, (SELECT arg_min(s.node, ((s.x1 - s.x0) * (s.y1 - s.y0), s.node)) FROM sym s WHERE list_contains(members, s.node)) AS node FROM ring)
-  SELECT s.sheet_id, s.node, CASE WHEN root.node IS NULL THEN up.parent END AS parent, p.parent IS NOT NULL AND (up.parent IS NULL OR root.node IS NOT NULL) AS cut FROM sym s LEFT JOIN parent p ON p.node = s.node LEFT JOIN up ON up.node = s.node LEFT JOIN root ON root.node = s.node""", "sym", "parent", recursive=True))
+@query("GRF_14_break_cycles")
 def _(v: Views) -> DataFrame:
     return assign.break_cycles(v.sym().select("sheet_id", "node", area(box()).alias("area")).join(v.parent(), ["sheet_id", "node"], "left"))
 

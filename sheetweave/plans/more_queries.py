@@ -12,7 +12,7 @@ from sheetweave.functions import prompts
 from sheetweave.functions.geometry import Box, box, center
 from sheetweave.functions.text import AGENT_TYPES, alnum, mapped, temp_id, token_overlap
 from sheetweave.operators import assign, graphs, metrics, raster, relations, spatial
-from sheetweave.plans.fixtures import Views, sql
+from sheetweave.plans.fixtures import Views, issues_of, sql
 from sheetweave.plans.join_queries import KTYPE, RANKED, hits, segments
 from sheetweave.sources import readers, sinks
 
@@ -22,7 +22,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, check: str | None = None):  # noqa: ANN201
     def keep(run: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: run(Views(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: run(Views(spark, sf_dir, issues_of(check)))
         if check:
             SQL[name] = check
         return run
@@ -82,10 +82,10 @@ def _(v: Views) -> DataFrame:
 
 
 def ports(v: Views) -> DataFrame:
-    return v.sym().where("node % 9 = 0").select("sheet_id", F.col("node").alias("port"), "tag", center(box())[0].alias("cx"), center(box())[1].alias("cy"))
+    return v.sym().where("cls = 'connector'").select("sheet_id", F.col("node").alias("port"), "tag", center(box())[0].alias("cx"), center(box())[1].alias("cy"))
 
 
-@query("JOI_17_ports_to_loose_ends", sql("AND p AS (SELECT sheet_id, node AS port, tag, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM sym WHERE node % 9 = 0), n AS (SELECT p.sheet_id, port, tag, pos, px, py, row_number() OVER (PARTITION BY port ORDER BY pow(cx - px, 2) + pow(cy - py, 2), pos) AS r FROM p JOIN pred q ON q.sheet_id = p.sheet_id AND pow(cx - px, 2) + pow(cy - py, 2) <= 300 * 300) SELECT sheet_id, round(px) AS ex, round(py) AS ey, min(port) AS owner, string_agg(DISTINCT tag, ',' ORDER BY tag) AS refs FROM n WHERE r = 1 GROUP BY sheet_id, round(px), round(py)", "sym", "pred"))
+@query("JOI_17_ports_to_loose_ends", sql("AND p AS (SELECT sheet_id, node AS port, tag, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM sym WHERE cls = 'connector'), n AS (SELECT p.sheet_id, port, tag, pos, px, py, row_number() OVER (PARTITION BY port ORDER BY pow(cx - px, 2) + pow(cy - py, 2), pos) AS r FROM p JOIN pred q ON q.sheet_id = p.sheet_id AND pow(cx - px, 2) + pow(cy - py, 2) <= 300 * 300) SELECT sheet_id, round(px) AS ex, round(py) AS ey, min(port) AS owner, string_agg(DISTINCT tag, ',' ORDER BY tag) AS refs FROM n WHERE r = 1 GROUP BY sheet_id, round(px), round(py)", "sym", "pred"))
 def _(v: Views) -> DataFrame:
     """Ports at one loose end are one; the first owns it and has the references of all."""
     ends = v.pred().select("sheet_id", "pos", "px", "py")
@@ -93,7 +93,7 @@ def _(v: Views) -> DataFrame:
     return near.groupBy("sheet_id", F.round("px").alias("ex"), F.round("py").alias("ey")).agg(F.min("port").alias("owner"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("refs"))
 
 
-@query("JOI_18_port_text_below", sql("AND p AS (SELECT sheet_id, node AS port, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM sym WHERE node % 9 = 0) SELECT p.sheet_id, port, arg_min(pos, (abs((y0 + y1) / 2 - cy) + 0.25 * abs((x0 + x1) / 2 - cx), pos)) AS word FROM p JOIN word w ON w.sheet_id = p.sheet_id AND (y0 + y1) / 2 - cy BETWEEN 0 AND 90 AND abs((x0 + x1) / 2 - cx) <= 200 GROUP BY p.sheet_id, port", "sym", "word"))
+@query("JOI_18_port_text_below", sql("AND p AS (SELECT sheet_id, node AS port, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM sym WHERE cls = 'connector') SELECT p.sheet_id, port, arg_min(pos, (abs((y0 + y1) / 2 - cy) + 0.25 * abs((x0 + x1) / 2 - cx), pos)) AS word FROM p JOIN word w ON w.sheet_id = p.sheet_id AND (y0 + y1) / 2 - cy BETWEEN 0 AND 90 AND abs((x0 + x1) / 2 - cx) <= 200 GROUP BY p.sheet_id, port", "sym", "word"))
 def _(v: Views) -> DataFrame:
     """The cheapest text below a port; height counts four times as much as width."""
     x, y = center(box())
@@ -116,12 +116,12 @@ def _(v: Views) -> DataFrame:
 
 # --- metrics -------------------------------------------------------------------------------------------
 
-@query("AGG_07_on_sheet_boundary", sql("AND c AS (SELECT DISTINCT sheet_id, least(a, b) AS a, greatest(a, b) AS b FROM claim), u AS (SELECT coalesce(c.sheet_id, p.sheet_id) AS sheet_id, coalesce(c.b, p.b) >= 1000000 AS boundary, c.a IS NOT NULL AS ic, p.a IS NOT NULL AS it FROM c FULL JOIN pair p ON p.sheet_id = c.sheet_id AND p.a = c.a AND p.b = c.b) SELECT sheet_id, count(*) FILTER (WHERE NOT boundary AND ic AND it) AS tp_on, count(*) FILTER (WHERE NOT boundary AND ic AND NOT it) AS fp_on, count(*) FILTER (WHERE NOT boundary AND it AND NOT ic) AS fn_on, count(*) FILTER (WHERE boundary AND ic AND NOT it) AS fp_boundary FROM u GROUP BY sheet_id", "claim", "pair"))
+@query("AGG_07_on_sheet_boundary", sql("AND c AS (SELECT DISTINCT sheet_id, least(a, b) AS a, greatest(a, b) AS b FROM claim), u AS (SELECT coalesce(c.sheet_id, p.sheet_id) AS sheet_id, coalesce(c.b, p.b) >= 1000000000000 AS boundary, c.a IS NOT NULL AS ic, p.a IS NOT NULL AS it FROM c FULL JOIN pair p ON p.sheet_id = c.sheet_id AND p.a = c.a AND p.b = c.b) SELECT sheet_id, count(*) FILTER (WHERE NOT boundary AND ic AND it) AS tp_on, count(*) FILTER (WHERE NOT boundary AND ic AND NOT it) AS fp_on, count(*) FILTER (WHERE NOT boundary AND it AND NOT ic) AS fn_on, count(*) FILTER (WHERE boundary AND ic AND NOT it) AS fp_boundary FROM u GROUP BY sheet_id", "claim", "pair"))
 def _(v: Views) -> DataFrame:
     """On-sheet and boundary claims are scored apart and never added up."""
     c = graphs.canonical(v.claim().select("sheet_id", "a", "b")).distinct().withColumn("_c", F.lit(1))
     t = graphs.canonical(v.edge().select("sheet_id", "a", "b")).distinct().withColumn("_t", F.lit(1))
-    ic, it, off = F.col("_c").isNotNull(), F.col("_t").isNotNull(), F.col("b") >= 1000000
+    ic, it, off = F.col("_c").isNotNull(), F.col("_t").isNotNull(), F.col("b") >= 1000000000000
     return c.join(t, ["sheet_id", "a", "b"], "full").groupBy("sheet_id").agg(F.count_if(~off & ic & it).alias("tp_on"), F.count_if(~off & ic & ~it).alias("fp_on"), F.count_if(~off & it & ~ic).alias("fn_on"), F.count_if(off & ic & ~it).alias("fp_boundary"))
 
 
@@ -181,11 +181,12 @@ def _(v: Views) -> DataFrame:
     return v.sym().select("node", F.when(F.pmod(F.xxhash64("node", F.lit(42)), F.lit(10)) < 2, "val").otherwise("train").alias("split"))
 
 
-@query("SET_04_delta", sql("AND c AS (SELECT DISTINCT sheet_id, least(a, b) AS a, greatest(a, b) AS b FROM claim WHERE b < 1000000 AND kind <> 'feeds') SELECT *, 'dropped' AS change FROM (SELECT sheet_id, a, b FROM pair EXCEPT SELECT * FROM c) UNION ALL SELECT *, 'added' FROM (SELECT * FROM c EXCEPT SELECT sheet_id, a, b FROM pair WHERE a % 2 = 0)", "pair", "claim"))
+@query("SET_04_delta", sql("AND c AS (SELECT DISTINCT sheet_id, least(a, b) AS a, greatest(a, b) AS b FROM claim WHERE b < 1000000000000 AND kind <> 'feeds') SELECT *, 'dropped' AS change FROM (SELECT sheet_id, a, b FROM pair EXCEPT SELECT * FROM c) UNION ALL SELECT *, 'added' FROM (SELECT * FROM c EXCEPT SELECT sheet_id, a, b FROM pair WHERE NOT dashed)", "pair", "claim"))
 def _(v: Views) -> DataFrame:
-    e = graphs.canonical(v.edge().select("sheet_id", "a", "b")).distinct()
-    c = graphs.canonical(v.claim().where("b < 1000000 and kind <> 'feeds'").select("sheet_id", "a", "b")).distinct()
-    return e.subtract(c).withColumn("change", F.lit("dropped")).unionByName(c.subtract(e.where("a % 2 = 0")).withColumn("change", F.lit("added")))
+    marked = graphs.canonical(v.edge()).groupBy("sheet_id", "a", "b").agg(F.bool_or(F.col("line_type") == "dashed").alias("dashed"))
+    e, solid = (marked.where(w).select("sheet_id", "a", "b") for w in ("true", "not dashed"))
+    c = graphs.canonical(v.claim().where("b < 1000000000000 and kind <> 'feeds'").select("sheet_id", "a", "b")).distinct()
+    return e.subtract(c).withColumn("change", F.lit("dropped")).unionByName(c.subtract(solid).withColumn("change", F.lit("added")))
 
 
 @query("SET_07_negatives", sql("AND k AS (SELECT count(*) FILTER (WHERE cls = 'valve') AS p FROM sym), n AS (SELECT node, row_number() OVER (ORDER BY node) AS r FROM sym WHERE cls = 'connector') SELECT node FROM n, k WHERE r <= floor(p * 0.2 / 0.8)", "sym"))
@@ -299,10 +300,10 @@ def _(v: Views) -> DataFrame:
     return v.sym().groupBy("sheet_id").agg(F.count("*").alias("items"), F.count_if(span <= 400).alias("covered"))
 
 
-@query("GRF_20_agreement_sets", sql(f"AND {RELATIONS}, kept AS (SELECT DISTINCT sheet_id, a, b FROM v WHERE verdict = 'kept'), c AS (SELECT DISTINCT sheet_id, least(a, b) AS a, greatest(a, b) AS b FROM claim WHERE b < 1000000) SELECT coalesce(k.sheet_id, c.sheet_id) AS sheet_id, coalesce(k.a, c.a) AS a, coalesce(k.b, c.b) AS b, CASE WHEN k.a IS NULL THEN 'llm_only' WHEN c.a IS NULL THEN 'geometry_only' ELSE 'agreed' END AS category FROM kept k FULL JOIN c ON c.sheet_id = k.sheet_id AND c.a = k.a AND c.b = k.b", "sym", "edge", "claim"))
+@query("GRF_20_agreement_sets", sql(f"AND {RELATIONS}, kept AS (SELECT DISTINCT sheet_id, a, b FROM v WHERE verdict = 'kept'), c AS (SELECT DISTINCT sheet_id, least(a, b) AS a, greatest(a, b) AS b FROM claim WHERE b < 1000000000000) SELECT coalesce(k.sheet_id, c.sheet_id) AS sheet_id, coalesce(k.a, c.a) AS a, coalesce(k.b, c.b) AS b, CASE WHEN k.a IS NULL THEN 'llm_only' WHEN c.a IS NULL THEN 'geometry_only' ELSE 'agreed' END AS category FROM kept k FULL JOIN c ON c.sheet_id = k.sheet_id AND c.a = k.a AND c.b = k.b", "sym", "edge", "claim"))
 def _(v: Views) -> DataFrame:
     k = relations.relations(candidates(v)).select("sheet_id", "a", "b", F.lit(1).alias("_k"))
-    c = graphs.canonical(v.claim().where("b < 1000000").select("sheet_id", "a", "b")).distinct().withColumn("_c", F.lit(1))
+    c = graphs.canonical(v.claim().where("b < 1000000000000").select("sheet_id", "a", "b")).distinct().withColumn("_c", F.lit(1))
     category = F.when(F.col("_k").isNull(), "llm_only").when(F.col("_c").isNull(), "geometry_only").otherwise("agreed")
     return k.join(c, ["sheet_id", "a", "b"], "full").select("sheet_id", "a", "b", category.alias("category"))
 

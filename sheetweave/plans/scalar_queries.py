@@ -11,7 +11,7 @@ from sheetweave.functions import geometry as g
 from sheetweave.functions import parsing as p
 from sheetweave.functions import text as t
 from sheetweave.functions.geometry import Box, box
-from sheetweave.plans.fixtures import Views, sql
+from sheetweave.plans.fixtures import Views, issues_of, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,7 +49,7 @@ def bind() -> None:
 def add(name: str, run: Callable[[Views], DataFrame], check: str | None = None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         bind()
-        return run(Views(spark, sf_dir))
+        return run(Views(spark, sf_dir, issues_of(check)))
 
     QUERIES[name] = query
     if check:
