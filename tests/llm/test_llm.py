@@ -327,10 +327,42 @@ def test_jaccard_ids(spark):
     assert jaccard.join_near(docs_frame(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_prefix_shortens_to_the_recall():
+def test_prefix_shortens_to_the_recall(spark, monkeypatch):
     for target in (0.9, 0.999):
         d = jaccard.depth_for(0.8, 24, target)
         assert 1 - (1 - 0.8**d) ** 24 >= target > 1 - (1 - 0.8 ** (d + 1)) ** 24
+    depths, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda tasks, threshold, trees, depth, before: depths.append(depth) or verify(tasks, threshold, trees, depth, before))
+    close = [words(400, s) + tail for s in range(8) for tail in ("", " x", " y")]  # similar by 0.99 or so: long prefixes do
+    assert [r["n_links"] for r in jaccard.join_near(docs_frame(spark, close)).collect()] == [2] * 24
+    assert depths == [8]
+    depths.clear()
+    jaccard.join_near(docs_frame(spark, close + near_texts())).count()
+    assert depths[0] == 8 and depths[-1] in (6, 7) and depths == sorted(depths, reverse=True)
+
+
+def test_jaccard_recall_on_the_table(spark):
+    """All links of a whole table, by brute force over an index of shingles."""
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        w = (r["text"] or "").lower().encode().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    index = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            index[x].append(d)
+    shared = Counter()
+    for ds in index.values():
+        shared.update((a, b) for i, a in enumerate(ds) for b in ds[i + 1 :])
+    links = Counter()
+    for (a, b), n in shared.items():
+        if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
+            links[a] += 1
+            links[b] += 1
+    got = {r["doc_id"]: r["n_links"] for r in queries.op8_jaccard(spark, SF_DIR).collect()}
+    assert len(got) == len(rows) and all(got[d] <= links[d] for d in got)
+    assert sum(got.values()) >= 0.999 * sum(links.values()) > 100
 
 
 def test_a_recall_out_of_reach_is_an_error():
