@@ -173,12 +173,44 @@ def test_language_model(spark):
         assert r["score"] < 0
     known = [r for r in rows if not r["train"] and r["n_tokens"] > 50]
     assert known and sum(r["score"] for r in known) > sum(r["base_score"] for r in known)
-    # the counts behind a score are the corpus's
-    counted = [x for b in [lm.count(df, ~lm.held_out()).where("c1 is not null").toArrow()] for batch in b.to_batches() for x in lm.documents_of(batch)]
-    for doc_id, _, c1, c2 in counted:
-        t = toks[doc_id if doc_id is not None else -1]
-        assert c1.tolist() == [c[w] for w in t]
-        assert c2.tolist() == [two[x] for x in zip([b""] + t[:-1], t, strict=True)]
+    # every score again, from counts by hand and an EM of its own
+    three = Counter(x for t, h in zip(toks, held, strict=True) if not h for x in zip(([b"", b""] + t)[: len(t)], ([b""] + t)[: len(t)], t, strict=True))
+    n_train = sum(not h for h in held)
+
+    def before(t):
+        for i, w in enumerate(t):
+            u, x = (t[i - 2] if i > 1 else b""), (t[i - 1] if i else b"")
+            yield w, (x, w), (u, x, w), c[x] if i else n_train, two[(u, x)] if i else n_train
+
+    def middle(p):
+        return 2.0 ** (-(min(62, int(np.floor(-2 * np.log2(p)))) + 0.5) / 2) if p > 0 else 0.0
+
+    def em(events, k):  # (bucket, estimates)
+        out, events = {}, Counter(events)
+        for bucket in {None} | {b for b, _ in events}:
+            w = [1 / k] * k
+            own = [(p, times) for (b, p), times in events.items() if bucket in (None, b) and sum(p) > 0]
+            for _ in range(60):
+                shares = [[times * a * b / sum(x * y for x, y in zip(w, p, strict=True)) for a, b in zip(w, p, strict=True)] for p, times in own]
+                w = [sum(s[j] for s in shares) / sum(times for _, times in own) for j in range(k)]
+            w = [max(x, 1e-6) for x in w]
+            out[bucket] = [x / sum(w) for x in w]
+        for b, w in out.items():
+            if b == 0:
+                out[b] = [0.0] + [x / sum(w[1:]) for x in w[1:]]
+        return lambda b: out.get(b) or (out[None] if b else [0.0] + [1 / (k - 1)] * (k - 1))
+
+    ratio = lambda x, y: x / y if y > 0 else 0.0
+    trained = [x for t, h in zip(toks, held, strict=True) if not h for x in before(t)]
+    w2 = em([((c1 - 1).bit_length(), (middle(ratio(two[b] - 1, c1 - 1)), middle((c[w] - 1) / (n - 1)), 1 / (v + 1))) for w, b, _, c1, _ in trained], 3)
+    p2 = lambda w, b, c1, less: sum(x * y for x, y in zip(w2((max(c1 - less, 0)).bit_length()), (ratio(two[b] - less, c1 - less), (c[w] - less) / (n - less), 1 / (v + 1)), strict=True))
+    w3 = em([((c2 - 1).bit_length(), (middle(ratio(three[g] - 1, c2 - 1)), middle(p2(w, b, c1, 1)))) for w, b, g, c1, c2 in trained], 2)
+    for r in rows:
+        t = toks[r["doc_id"] if r["doc_id"] is not None else -1]
+        want = sum(np.log10(sum(x * y for x, y in zip(w3(c2.bit_length()), (ratio(three[g], c2), p2(w, b, c1, 0)), strict=True))) for w, b, g, c1, c2 in before(t))
+        assert r["score"] == pytest.approx(want, rel=1e-6, abs=1e-6)
+    # the same with many small chunks and several levels of nodes
+    assert Counter((r["doc_id"], r["n_known"], round(r["score"], 6)) for r in lm.score(df.repartition(3), ~lm.held_out(), chunk_bytes=2000, fan=2).collect()) == Counter((r["doc_id"], r["n_known"], round(r["score"], 6)) for r in rows)
     assert lm.score(df.limit(0), ~lm.held_out()).count() == 0
     untrained = lm.score(df, F.lit(False)).collect()
     assert {r["train_tokens"] for r in untrained} == {0} and all(abs(r["score"]) < 1e-9 for r in untrained)
