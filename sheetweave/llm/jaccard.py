@@ -279,11 +279,13 @@ def near_rows(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = 24,
     signed = saved(sign(docs, trees, deepest))
     reps = saved(signed.where("n > 0").groupBy("rep").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     sequences = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substr(F.col("sig"), t * (2 * deepest) + 1, F.lit(2 * deepest)))
-    trie = reps.select("rep", "n", F.posexplode(sequences).alias("tree", "seq"))
-    trie = saved(trie.repartitionByRange("tree", "seq", "rep").sortWithinPartitions("tree", "seq", "rep"))
-    # a text of each class that any round may want is read again, once; the filter only saves work, the join is exact
-    need = members(trie, nodes_of(trie, least, 0), least, block, block_shingles).select("rep").distinct().join(reps.select("rep", "first_id"), "rep").select(F.coalesce("first_id", F.lit(-1)).alias("_id"))
-    need = saved(need)
+    # the tries hold the classes that share a prefix of the shallowest depth; others have no candidates at any
+    every = reps.select("rep", "n", F.posexplode(sequences).alias("tree", "seq")).withColumn("group", F.xxhash64(F.substring("seq", 1, 2 * least)))
+    shared = every.groupBy("tree", "group").agg(F.count("*").alias("m")).where("m > 1").select("tree", "group")
+    live = saved(every.join(shared, ["tree", "group"]).select("rep", "n", "tree", "seq"))
+    trie = saved(live.repartitionByRange("tree", "seq", "rep").sortWithinPartitions("tree", "seq", "rep"))
+    # a text of each of them is read again, once; the filter only saves work, the join is exact
+    need = saved(trie.select("rep").distinct().join(reps.select("rep", "first_id"), "rep").select(F.coalesce("first_id", F.lit(-1)).alias("_id")))
     n_bloom = block_count(need.count())
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), "text")
     text = bloom_probe(text, "_id", bloom_blocks(need, "_id", n_bloom), n_bloom).where("_maybe")

@@ -178,7 +178,7 @@ def count(docs: DataFrame, train: Column, chunk_bytes: int = 6 << 20, fan: int =
     width = min(64, max(bits, math.ceil(math.log2(max(2, n_tokens)))) + 16)
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of the input
     base = parts.select(F.col("part").alias("_p"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    made = made.join(base, F.col("part") == F.col("_p")).withColumn("chunk", F.col("_base") + F.col("seq")).select("chunk", "doc_ids", "train", "sizes", "words", "at")
+    made = made.join(base, F.col("part") == F.col("_p")).withColumn("chunk", F.col("_base") + F.col("seq")).select("chunk", "doc_ids", "train", "sizes", "words", "at").repartition("chunk")
     plan = digits_of(bits, fan)
 
     def emit(batches: Iterator) -> Iterator:
