@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,12 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """checkpoint() needs a folder that all executors share; the cluster names it in spark.checkpoint.dir."""
+    """checkpoint() needs a folder that all executors share; the cluster names it in spark.checkpoint.dir. Only a session of one machine gets a folder of its own."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def saved(df: DataFrame) -> DataFrame:

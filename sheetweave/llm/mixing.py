@@ -7,7 +7,8 @@ source uses only the head of its block, so that the words used add up to the tar
 words that used blocks share with them.
 
 Edge cases: null text has size 0 and is taken 0 times; sources sort by code point with null last; an empty
-table gives an empty result; repeated rows stay apart; a null doc_id is an id like others.
+table gives an empty result; repeated rows stay apart; rows with equal ids and sizes are ties, in any order, as what they get together is the same; a null doc_id is an id like others; a very long text spans as many blocks as it
+needs; only doc_id, source and the text are read, so columns of other names do no harm. More than ``max_sources`` sources are an error, not cut.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from itertools import cycle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetweave.llm.common import WORD, bucket_bits, running_before, small_frame
+from sheetweave.llm.common import WORD, bucket_bits, running_before, saved, small_frame
 
 GOLDEN = 0.6180339887498949
 
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3
     Only one row per source comes to the driver; more than max_sources of them are refused.
     """
     spark = docs.sparkSession
-    sizes = sized(docs)
+    sizes = saved(sized(docs))  # the texts are read once
     per = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(per) > max_sources:
         raise ValueError(f"more than {max_sources} sources")

@@ -6,40 +6,45 @@ brackets or separators) and card or account numbers (13 to 19 digits; with ``che
 digit is right, so that other long numbers stay). A value is read as a list of symbols,
 each below a radix of its own: 10 for digits, 26 or 31 for letters, 16 for hexadecimal digits, 256 for
 octets, 17 and 4297 for the 73,049 days of two centuries. Rounds alternate: one half of the symbols gets,
-modulo its radixes, numbers from SHA-256 over the key, the kind, the round and the other half. That permutes
+modulo its radixes, numbers from HMAC-SHA-256 with the key over the kind, the round and the other half. That permutes
 the values of one format, so equal values get equal pseudonyms in all documents and different values of a
 format never share one. A card number's distance from its right Luhn digit, the country code, an e-mail's
-domain, punctuation and letter case stay as they are.
+domain, punctuation and letter case stay as they are. The key is data of a one-row table that the plan reads as a scalar
+subquery, so no plan, event log or user interface shows it.
 
 Edge cases: null text stays null with no pseudonyms; text without such values, or empty, is unchanged;
 matches are anchored at the start of a run of characters, so a very long run costs no more than its length;
 the text is cut by the same pattern that extracts the values, so pieces and values interleave exactly;
-repeated rows and ids are treated one by one; no other column is read, so clashing names do no harm.
+repeated rows and ids are treated one by one; an empty table gives no rows; a value of any length is permuted whole;
+no other column is read, and names of columns in between avoid those of the input; a column ``n_pseudonyms`` of the input is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 LOCAL = r"[\p{L}\p{N}._%+-]"
 #: What is looked for, in the order in which it is tried.
-EMAIL = rf"(?<!{LOCAL}){LOCAL}{{1,255}}+@[A-Za-z0-9][A-Za-z0-9.-]{{0,252}}\.[A-Za-z]{{2,24}}"
-SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])"
+EMAIL = rf"(?<!{LOCAL}){LOCAL}++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{{2,}}"
+SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-1][0-9]-[0-3][0-9]|[0-3][0-9][./-][0-1][0-9][./-](?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9])"
 GROUP = r"[0-9]{2,5}(?![0-9]|\.[0-9])"
 PHONE = (
-    r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{2,5}(?:[ .-][0-9]{2,5})?"
-    rf"|\+[0-9]{{1,3}}(?:[ -]{GROUP}){{2,4}}|\+[0-9]{{1,3}}(?:\.[0-9]{{2,5}}){{2,4}}|\+[0-9]{{8,15}}"
-    r"|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,5}|(?<![.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
+    rf"(?<![0-9+])(?:\+[0-9]{{1,3}}[ .-]?\([0-9]{{1,4}}\)[ .-]?[0-9]{{2,5}}(?:[ .-]{GROUP}){{0,3}}"
+    rf"|\+[0-9]{{1,3}}[ -][0-9]{{1,5}}(?:[ -]{GROUP}){{1,4}}|\+[0-9]{{1,3}}(?:\.[0-9]{{2,5}}){{2,4}}|\+[0-9]{{8,15}}"
+    r"|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,5}|\([0-9]{2,5}\)[ .-]?[0-9]{5,9}|(?<![.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
+    r"|(?<![.-])0[1-9](?:[ .-][0-9]{2}){4}(?![ .-][0-9])|(?<![.-]|[0-9] )[6-9][0-9]{2}[ -][0-9]{3}[ -][0-9]{3}(?![ .-][0-9]))(?![0-9])"
 )
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP, DATE, CARD, PHONE))
 #: Letters and digits that are permuted within their own alphabet.
-ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", *("".join(map(chr, range(lo, hi))) for lo, hi in ((0x430, 0x450), (0x410, 0x430), (0x3B1, 0x3C2), (0x391, 0x3A2))))
 HEX = "0123456789abcdef"
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
@@ -66,7 +71,7 @@ def _kind(m: Column, checked: bool) -> Column:
     digits = F.transform(_chars(F.regexp_replace(m, "[^0-9]", "")), lambda c: c.cast("long"))
     return (
         F.when(F.instr(m, "@") > 0, "email")
-        .when(m.rlike("^[0-9a-fA-F]{32,128}$"), "hex")
+        .when(m.rlike("^[0-9a-fA-F]{32,}$"), "hex")
         .when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
         .when(m.rlike(f"^(?:{DATE})$"), F.when(_day(m).isNotNull(), "date"))
         .when(m.rlike(f"^(?:{CARD})$"), F.when(_luhn(digits, 1) % 10 == 0, "card") if checked else F.lit("card"))
@@ -119,12 +124,21 @@ def _halves(s: Column) -> Column:
     return F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["shape"].alias("shape"), s["a"].alias("a"), off.alias("off"), *cut)
 
 
-def _turn(s: Column, rnd: int, key: str, undo: bool) -> Column:
-    """One Feistel round: the right half in even rounds, the left one in odd rounds."""
+def _keys(spark: SparkSession, key: str) -> tuple[Column, Column]:
+    """The inner and the outer key of HMAC-SHA-256, as scalar subqueries."""
+    block = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    pads = (bytes(x ^ pad for x in block.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    table = spark.sql("SELECT * FROM VALUES (X'{}', X'{}') AS t(i, o)".format(*pads))
+    return table.select("i").scalar(), table.select("o").scalar()
+
+
+def _turn(s: Column, rnd: int, keys: tuple[Column, Column], undo: bool) -> Column:
+    """One Feistel round: the right half in even rounds, the left one in odd rounds. The other half is hashed once, then once more for each symbol."""
     mine, other, radix = ("r", "l", "rm") if rnd % 2 == 0 else ("l", "r", "lm")
-    n = F.size(s[mine])
-    seed = F.concat_ws("|", F.lit(f"{key}|{rnd}"), s["kind"], F.array_join(F.transform(s[other], lambda x: x.cast("string")), ","), n.cast("string"))
-    noise = F.transform(s[mine], lambda x, i: F.conv(F.substr(F.sha2(F.concat_ws("|", seed, i.cast("string")).cast("binary"), 256), F.lit(1), F.lit(12)), 16, 10).cast("long"))
+    asked = F.concat_ws("|", F.lit(str(rnd)), s["kind"], F.array_join(F.transform(s[other], lambda x: x.cast("string")), ","), F.size(s[mine]).cast("string"))
+    inner = F.unhex(F.sha2(F.concat(keys[0], asked.cast("binary")), 256))
+    seeds = F.array(F.sha2(F.concat(keys[1], inner), 256))
+    noise = F.flatten(F.transform(seeds, lambda seed: F.transform(s[mine], lambda x, i: F.conv(F.substr(F.sha2(F.concat_ws("|", seed, i.cast("string")).cast("binary"), 256), F.lit(1), F.lit(12)), 16, 10).cast("long"))))
     moved = F.zip_with(s[mine], noise, lambda a, b: a - b if undo else a + b)
     new = F.zip_with(moved, s[radix], F.pmod)
     return F.struct(*((new if f == mine else s[f]).alias(f) for f in ("m", "kind", "shape", "a", "off", "l", "r", "lm", "rm")))
@@ -154,16 +168,21 @@ def _write(s: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", undo: bool = False, checked: bool = False) -> DataFrame:
     """docs with text_col rewritten and n_pseudonyms (long), the values that changed; undo gives the values back to whoever has the key. checked leaves long numbers alone that fail the Luhn check."""
     text, none = F.col(text_col), F.expr("cast(array() as array<string>)")
-    df = docs.withColumn("_found", F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), none))
-    df = df.withColumn("_s", F.transform(_read(F.col("_found"), checked), _halves))
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    found, s, new, *pads = (f"{mark}{n}" for n in ("found", "s", "new", "inner", "outer"))
+    keys = tuple(map(F.col, pads))
+    df = docs.withColumns(dict(zip(pads, _keys(docs.sparkSession, key), strict=True))).withColumn(found, F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), none))
+    df = df.withColumn(s, F.transform(_read(F.col(found), checked), _halves))
     for rnd in reversed(range(ROUNDS)) if undo else range(ROUNDS):
-        df = df.withColumn("_s", F.transform("_s", _turned(rnd, key, undo)))
-    joined = F.transform("_s", lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["shape"].alias("shape"), s["a"].alias("a"), s["off"].alias("off"), F.concat(s["l"], s["r"]).alias("x")))
-    df = df.withColumn("_new", F.transform(joined, _write))
-    whole = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x)).cast("long")
-    return df.withColumn(text_col, F.when(F.size("_found") > 0, whole).otherwise(text)).withColumn("n_pseudonyms", changed).drop("_found", "_new", "_s")
+        df = df.withColumn(s, F.transform(s, _turned(rnd, keys, undo)))
+    joined = F.transform(s, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["shape"].alias("shape"), s["a"].alias("a"), s["off"].alias("off"), F.concat(s["l"], s["r"]).alias("x")))
+    df = df.withColumn(new, F.transform(joined, _write))
+    whole = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)).cast("long")
+    return df.withColumn(text_col, F.when(F.size(found) > 0, whole).otherwise(text)).withColumn("n_pseudonyms", changed).drop(found, s, new, *pads)
 
 
-def _turned(rnd: int, key: str, undo: bool):  # noqa: ANN202
-    return lambda s: _turn(s, rnd, key, undo)
+def _turned(rnd: int, keys: tuple[Column, Column], undo: bool):  # noqa: ANN202
+    return lambda s: _turn(s, rnd, keys, undo)

@@ -239,6 +239,33 @@ def test_quality(spark):
     none = quality.fit(df, labels.limit(0))
     assert {r["score"] for r in quality.score(df.select("doc_id", "text"), none).collect()} == {0.5}
     assert quality.score(df.limit(0), ranker).count() == 0
+    twice = docs_frame(spark, [*texts, "Another text. " * 30], ids=[*range(len(texts)), 3])
+    assert quality.fit(twice.repartition(7), labels).w.tolist() == quality.fit(twice.repartition(2), labels).w.tolist()
+    assert quality.score(df.withColumn("score", F.lit("x")).select("doc_id", "text", "score"), ranker).count() == len(texts)
+
+
+def test_quality_minimises_the_loss():
+    """No small step from the weights lowers the mean logistic loss of the pairs and the ridge, computed pair by pair."""
+    rng = np.random.default_rng(1)
+    y = np.array([1] * 40 + [0] * 30)
+    x = rng.normal(size=(70, quality.FEATURES)) + y[:, None] * 0.5
+    ranker = quality.Ranker(x, y, pairs=400)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -4, 4)
+    z = np.hstack((z, z * z))
+    draw = np.random.default_rng(5)
+    good = draw.permutation(40)[np.arange(400) % 40]
+    pairs = list(zip(good, 40 + draw.integers(0, 30, 400), strict=True))
+    loss = lambda w: np.mean([np.log1p(np.exp(-(z[i] - z[j]) @ w)) for i, j in pairs]) + 1e-3 / 2 * w @ w
+    low = loss(ranker.w)
+    assert all(loss(ranker.w + e * d) > low for d in np.eye(len(ranker.w)) for e in (1e-2, -1e-2))
+    scores = 1 / (1 + np.exp(-(z @ ranker.w - np.quantile(z @ ranker.w, 30 / 70))))
+    assert np.allclose(ranker.score(x), scores, atol=1e-9)
+
+
+def test_quality_on_held_out_labels(spark):
+    got = {r["doc_id"]: r for r in queries.op5_quality(spark, SF_DIR).where("held_out").collect()}
+    marks = [(r["quality"], got[r["doc_id"]]["predicted"]) for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect() if r["doc_id"] in got]
+    assert len(marks) > 80 and np.mean([a == b for a, b in marks]) > 0.9
 
 
 # --- op6 ---
@@ -314,6 +341,43 @@ def test_pseudonyms_check_cards(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
 
 
+def test_pseudonyms_phones_and_lengths(spark):
+    """Formats of several countries, values of any length, letters of other scripts; the key is in no plan."""
+    values = ["+33 6 12 34 56 78", "06 12 34 56 78", "612 345 678", "(030) 1234567", "+49 (30) 123 45 67", "0123456789abcdef" * 20, "k" * 400 + "@mail.example.org", "иван.петров@mail.example.org", "αβγδ@mail.example.org"]
+    df = spark.createDataFrame([(i, f"a {v}, b", "x", "y") for i, v in enumerate(values)] + [(99, "in 100 200 300 and 12 34, 612 345 678 901 b", "x", "y")], "doc_id long, text string, _found string, _s string")
+    out = pseudonyms.pseudonymise(df, "a very secret key")
+    assert out.columns == [*df.columns, "n_pseudonyms"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, v in enumerate(values):
+        mine = got[i]["text"][2:-3]
+        assert mine != v and len(mine) == len(v) and got[i]["n_pseudonyms"] == 1, v
+        assert mine.split("@")[0] != v.split("@")[0], v
+    assert got[99]["text"] == "in 100 200 300 and 12 34, 612 345 678 901 b" and got[0]["_found"] == "x"
+    assert {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(out, "a very secret key", undo=True).collect()} == {r["doc_id"]: r["text"] for r in df.collect()}
+    for mode in ("extended", "formatted"):
+        plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+        assert "very secret" not in plan and "very secret".encode().hex() not in plan.lower()
+
+
+def test_pseudonyms_by_hand(spark):
+    """The permutation of a secret, computed with hmac."""
+    import hmac
+
+    def turn(digits, key):
+        n = len(digits)
+        l, r = digits[: n // 2], digits[n // 2 :]
+        for rnd in range(pseudonyms.ROUNDS):
+            mine, other = (r, l) if rnd % 2 == 0 else (l, r)
+            seed = hmac.new(key, f"{rnd}|hex|{','.join(map(str, other))}|{len(mine)}".encode(), "sha256").hexdigest()
+            mine = [(x + int(hashlib.sha256(f"{seed}|{i}".encode()).hexdigest()[:12], 16)) % 16 for i, x in enumerate(mine)]
+            l, r = (l, mine) if rnd % 2 == 0 else (mine, r)
+        return l + r
+
+    values = ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "0" * 31 + "f", "abc" * 77 + "0"]
+    got = [r["text"] for r in pseudonyms.pseudonymise(docs_frame(spark, values), "k").orderBy("doc_id").collect()]
+    assert got == ["".join(f"{x:x}" for x in turn([int(c, 16) for c in v], b"k")) for v in values]
+
+
 # --- op8 ---
 
 def near_texts():
