@@ -20,7 +20,8 @@ most.
 
 Edge cases: null and empty texts are the end token alone; without training tokens counts are 0 and l0 is 1; an empty table gives no rows;
 words of any length are hashed whole, and a very long text is a chunk of its own; repeated rows count and are scored one by one; a null doc_id counts as
-an empty id; other columns are ignored.
+an empty id; other columns are ignored. A lost executor's chunks are made again from the same rows, so docs should be a table or a plan that
+gives its rows in the same order again.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sheetweave.llm.common import arrow_batch, arrow_schema, crc_mod, saved
 from sheetweave.llm.jaccard import M2, mixed
@@ -89,14 +89,14 @@ def grams(h: np.ndarray, sizes: np.ndarray, width: int) -> list[np.ndarray]:
     return [k >> np.uint64(64 - width) for k in keys]
 
 
-CHUNK = "part long, seq long, doc_ids array<long>, train array<boolean>, sizes array<long>, words binary, at binary"
+CHUNK = "chunk long, doc_ids array<long>, train array<boolean>, sizes array<long>, words binary, at binary"
 MESSAGE = "src long, dst long, keys array<binary>, counts array<binary>"
 ANSWER = "src long, dst long, counts array<binary>, n long, v long"
 COUNTED = "doc_ids array<long>, train array<boolean>, sizes array<long>, words binary, at binary, counts array<binary>, n long, v long"
 
 
 def chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
-    """A row for each run of rows: ids, whether they are for training, numbers of tokens, distinct word hashes and each token's place among them."""
+    """A row for each run of rows: a number of its own, ids, whether they are for training, numbers of tokens, distinct word hashes and each token's place among them."""
     def run(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
@@ -106,7 +106,7 @@ def chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
         def done():  # noqa: ANN202
             h, sizes = tokens([r[1] for r in held])
             words, at = np.unique(h, return_inverse=True)
-            return arrow_batch([(part, seq, [r[0] for r in held], [r[2] for r in held], sizes.tolist(), sorted_planes(words), planes(at.astype(np.uint64)))], schema)
+            return arrow_batch([(part << 20 | seq, [r[0] for r in held], [r[2] for r in held], sizes.tolist(), sorted_planes(words), planes(at.astype(np.uint64)))], schema)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -128,11 +128,10 @@ def digits_of(bits: int, fan: int) -> list[int]:
     return [bits // levels + (k < bits % levels) for k in range(levels)]
 
 
-def cut(src: int, lists: list[tuple[np.ndarray, np.ndarray]], bits: int, used: int, more: int, width: int) -> list[tuple]:
-    """The messages of a node or chunk: its sorted keys and counts, cut by the next ``more`` bits of the range."""
-    left = bits - used
-    rest, own = src & ((1 << left) - 1), src >> left
-    lows = np.array([((own << more) + d) << (width - used - more) for d in range(1 << more)], np.uint64)
+def cut(src: int, lists: list[tuple[np.ndarray, np.ndarray]], own: int, rest: int, left: int, more: int, width: int) -> list[tuple]:
+    """The messages of src, a node or chunk with part ``own`` of the range and number ``rest`` of ``left`` bits: its sorted keys and counts, cut by the next ``more`` bits of the range."""
+    used = own.bit_length() - 1  # own has a leading one
+    lows = np.array([((own << more) + d - (1 << used + more)) << (width - used - more) for d in range(1 << more)], np.uint64)
     edges = [[*np.searchsorted(k, lows).tolist(), len(k)] for k, _ in lists]
     out = []
     for d in range(1 << more):
@@ -171,31 +170,30 @@ def distinct_grams(words: bytes, at: bytes, sizes: list[int], width: int, orders
 
 def count(docs: DataFrame, train: Column, chunk_bytes: int = 6 << 20, fan: int = 7) -> tuple[DataFrame, int]:
     """A row for each chunk with the corpus's counts of its distinct n-grams, and one without that has N and V; and the width of keys."""
-    made = saved(chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train")), chunk_bytes))
-    parts = made.groupBy("part").agg(F.count("*").alias("_n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)).alias("_t"))
-    n_chunks, n_tokens = (x or 0 for x in parts.agg(F.sum("_n"), F.sum("_t")).first())
-    bits = max(0, math.ceil(math.log2(max(1, n_chunks))))
-    width = min(64, max(bits, math.ceil(math.log2(max(2, n_tokens)))) + 16)
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of the input
-    base = parts.select(F.col("part").alias("_p"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    made = made.join(base, F.col("part") == F.col("_p")).withColumn("chunk", F.col("_base") + F.col("seq")).select("chunk", "doc_ids", "train", "sizes", "words", "at").repartition("chunk")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"))
+    size, n_rows = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.count("*")).first())
+    bits = max(0, math.ceil(math.log2(max(1, size / chunk_bytes))))
+    width = min(64, max(bits, math.ceil(math.log2(size / 4 + n_rows + 2))) + 16)
+    made = chunks(rows, chunk_bytes).repartition("chunk")  # once, for what is sent and for what is met: both take all columns
     plan = digits_of(bits, fan)
 
     def emit(batches: Iterator) -> Iterator:
         schema = arrow_schema(MESSAGE)
         for batch in batches:
-            for chunk, learn, sizes, words, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for chunk, _, learn, sizes, words, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 learnt = np.repeat(np.array(learn, bool), sizes)
                 lists = [(k, np.bincount(i[learnt], minlength=len(k)).astype(np.uint64)) for k, i in distinct_grams(words, at, sizes, width)]
-                got = cut(chunk, lists, bits, 0, plan[0], width)
+                rest = int(mixed(np.array([chunk + 1], np.uint64))[0]) & ((1 << bits) - 1)
+                got = cut(chunk, lists, 1, rest, bits, plan[0], width)
                 for lo in range(0, len(got), 16):
                     yield arrow_batch(got[lo : lo + 16], schema)
 
-    def send_on(used: int, more: int):  # noqa: ANN202
+    def send_on(left: int, more: int):  # noqa: ANN202
         def run(key, table):  # noqa: ANN001, ANN202
             import pyarrow as pa
 
-            got = cut(key[0].as_py(), [(k, total) for k, _, total in sums(table)], bits, used, more, width)
+            node = key[0].as_py()
+            got = cut(node, [(k, total) for k, _, total in sums(table)], node >> left, node & ((1 << left) - 1), left, more, width)
             return pa.Table.from_batches([arrow_batch(got, arrow_schema(MESSAGE))])
 
         return run
@@ -233,10 +231,10 @@ def count(docs: DataFrame, train: Column, chunk_bytes: int = 6 << 20, fan: int =
             got = (*(row[n] for n in ("doc_ids", "train", "sizes", "words", "at")), [planes(x) for x in c], None, None)
         return pa.Table.from_batches([arrow_batch([got], arrow_schema(COUNTED))])
 
-    levels, used = [made.select("chunk", "train", "sizes", "words", "at").mapInArrow(emit, MESSAGE)], 0
+    levels, left = [made.mapInArrow(emit, MESSAGE)], bits
     for now, more in zip(plan, plan[1:], strict=False):
-        used += now
-        levels.append(levels[-1].groupBy("dst").applyInArrow(send_on(used, more), MESSAGE))
+        left -= now
+        levels.append(levels[-1].groupBy("dst").applyInArrow(send_on(left, more), MESSAGE))
     answers = levels.pop().groupBy("dst").applyInArrow(reply, ANSWER)
     while levels:
         answers = levels.pop().groupBy("dst").cogroup(answers.groupBy("dst")).applyInArrow(pass_back, ANSWER)
