@@ -12,11 +12,11 @@ One pass makes chunks of some megabytes of text, each a run of the rows of a par
 nowhere. A chunk sends its distinct n-grams, as sorted hashes, with its training counts to nodes of the hash range;
 what it sends is cut in at most ``2 ** fan`` parts. With more chunks than that, nodes come in levels, as in a butterfly
 network: a node adds up what as many chunks or nodes sent for its part of the range, and sends that on, cut again, so
-every task gets and sends a bounded number of messages and their number grows with the chunks. The last level has the
+every task gets and sends a bounded number of messages and their number grows with the chunks (6 GB of text are a thousand chunks, one level). The last level has the
 whole corpus's counts, and answers go back the same way. A chunk, met again with its answers, keeps the
 counts of its distinct n-grams. No task holds more than about a chunk, and a frequent word is one number in
-each message. Hashes are as wide as the corpus needs for an n-gram to share one by accident once in 65,536 times, 64 bits at
-most.
+each message. Words have hashes of 64 bits, so that N, V and the base score are exact; those of pairs and triples are as wide as
+the corpus needs for one to share its hash by accident once in 4,096 times, 64 bits at most.
 
 Edge cases: null and empty texts are the end token alone; without training tokens counts are 0 and l0 is 1; an empty table gives no rows;
 words of any length are hashed whole, and a very long text is a chunk of its own; repeated rows count and are scored one by one; a null doc_id counts as
@@ -76,7 +76,7 @@ def tokens(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(h: np.ndarray, sizes: np.ndarray, width: int) -> list[np.ndarray]:
-    """Keys of each token alone, with the one before it, and with the two before it."""
+    """Keys of each token alone, of 64 bits, and with the one and the two before it, of width bits."""
     first = np.cumsum(sizes) - sizes
     one = np.empty_like(h)
     one[1:] = h[:-1]
@@ -86,7 +86,7 @@ def grams(h: np.ndarray, sizes: np.ndarray, width: int) -> list[np.ndarray]:
     two[first] = BEGIN
     pair = mixed(one * M2 + h + np.uint64(7))
     keys = mixed(h + np.uint64(11)), pair, mixed(mixed(two + np.uint64(5)) * M2 + pair)
-    return [k >> np.uint64(64 - width) for k in keys]
+    return [keys[0], *(k >> np.uint64(64 - width) for k in keys[1:])]
 
 
 CHUNK = "chunk long, doc_ids array<long>, train array<boolean>, sizes array<long>, words binary, at binary"
@@ -131,8 +131,8 @@ def digits_of(bits: int, fan: int) -> list[int]:
 def cut(src: int, lists: list[tuple[np.ndarray, np.ndarray]], own: int, rest: int, left: int, more: int, width: int) -> list[tuple]:
     """The messages of src, a node or chunk with part ``own`` of the range and number ``rest`` of ``left`` bits: its sorted keys and counts, cut by the next ``more`` bits of the range."""
     used = own.bit_length() - 1  # own has a leading one
-    lows = np.array([((own << more) + d - (1 << used + more)) << (width - used - more) for d in range(1 << more)], np.uint64)
-    edges = [[*np.searchsorted(k, lows).tolist(), len(k)] for k, _ in lists]
+    lows = [(own << more) + d - (1 << used + more) for d in range(1 << more)]
+    edges = [[*np.searchsorted(k, np.array([x << (w - used - more) for x in lows], np.uint64)).tolist(), len(k)] for (k, _), w in zip(lists, (64, width, width), strict=True)]
     out = []
     for d in range(1 << more):
         spans = [(e[d], e[d + 1]) for e in edges]
@@ -168,12 +168,12 @@ def distinct_grams(words: bytes, at: bytes, sizes: list[int], width: int, orders
     return [np.unique(k, return_inverse=True) for k in grams(h, np.array(sizes, np.int64), width)[:orders]]
 
 
-def count(docs: DataFrame, train: Column, chunk_bytes: int = 6 << 20, fan: int = 7) -> tuple[DataFrame, int]:
+def count(docs: DataFrame, train: Column, chunk_bytes: int = 6 << 20, fan: int = 10) -> tuple[DataFrame, int]:
     """A row for each chunk with the corpus's counts of its distinct n-grams, and one without that has N and V; and the width of keys."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"))
     size, n_rows = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.count("*")).first())
     bits = max(0, math.ceil(math.log2(max(1, size / chunk_bytes))))
-    width = min(64, max(bits, math.ceil(math.log2(size / 4 + n_rows + 2))) + 16)
+    width = min(64, max(bits, math.ceil(math.log2(size / 4 + n_rows + 2))) + 12)
     made = chunks(rows, chunk_bytes).repartition("chunk")  # once, for what is sent and for what is met: both take all columns
     plan = digits_of(bits, fan)
 
