@@ -16,7 +16,7 @@ every task gets and sends a bounded number of messages and their number grows wi
 whole corpus's counts, and answers go back the same way. A chunk, met again with its answers, keeps the
 counts of its distinct n-grams. No task holds more than about a chunk, and a frequent word is one number in
 each message. Words have hashes of 64 bits, so that N, V and the base score are exact; those of pairs and triples are as wide as
-the corpus needs for one to share its hash by accident once in 4,096 times, 64 bits at most.
+the corpus needs for one to share its hash by accident once in 4,096 times, 40 bits at least and 64 at most.
 
 Edge cases: null and empty texts are the end token alone; without training tokens counts are 0 and l0 is 1; an empty table gives no rows;
 words of any length are hashed whole, and a very long text is a chunk of its own; repeated rows count and are scored one by one; a null doc_id counts as
@@ -105,8 +105,11 @@ def chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
 
         def done():  # noqa: ANN202
             h, sizes = tokens([r[1] for r in held])
-            words, at = np.unique(h, return_inverse=True)
-            return arrow_batch([(part << 20 | seq, [r[0] for r in held], [r[2] for r in held], sizes.tolist(), sorted_planes(words), planes(at.astype(np.uint64)))], schema)
+            words, at, times = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.lexsort((words, -digits(times)))  # frequent words first: small numbers for them, and runs of ascending hashes
+            place = np.empty(len(words), np.uint64)
+            place[order] = np.arange(len(words), dtype=np.uint64)
+            return arrow_batch([(part << 20 | seq, [r[0] for r in held], [r[2] for r in held], sizes.tolist(), sorted_planes(words[order]), planes(place[at]))], schema)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -173,7 +176,7 @@ def count(docs: DataFrame, train: Column, chunk_bytes: int = 6 << 20, fan: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"))
     size, n_rows = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.count("*")).first())
     bits = max(0, math.ceil(math.log2(max(1, size / chunk_bytes))))
-    width = min(64, max(bits, math.ceil(math.log2(size / 4 + n_rows + 2))) + 12)
+    width = min(64, max(40, bits + 12, math.ceil(math.log2(size / 4 + n_rows + 2)) + 12))
     made = chunks(rows, chunk_bytes).repartition("chunk")  # once, for what is sent and for what is met: both take all columns
     plan = digits_of(bits, fan)
 
@@ -253,7 +256,7 @@ def documents_of(batch, width: int, orders: int = ORDERS) -> Iterator[tuple]:  #
 
 def digits(x: np.ndarray) -> np.ndarray:
     """Binary digits of whole numbers; 0 has none."""
-    return np.frexp(x)[1]
+    return np.frexp(x.astype(np.float64))[1]
 
 
 def binned(p: np.ndarray) -> np.ndarray:
