@@ -282,11 +282,11 @@ def near_rows(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = 24,
     # the tries hold the classes that share a prefix of the shallowest depth; others have no candidates at any
     every = reps.select("rep", "n", F.posexplode(sequences).alias("tree", "seq")).withColumn("group", F.xxhash64(F.substring("seq", 1, 2 * least)))
     shared = every.groupBy("tree", "group").agg(F.count("*").alias("m")).where("m > 1").select("tree", "group")
-    live = saved(every.join(shared, ["tree", "group"]).select("rep", "n", "tree", "seq"))
+    live = every.join(shared, ["tree", "group"]).select("rep", "n", "tree", "seq")
     trie = saved(live.repartitionByRange("tree", "seq", "rep").sortWithinPartitions("tree", "seq", "rep"))
     # a text of each of them is read again, once; the filter only saves work, the join is exact
-    need = saved(trie.select("rep").distinct().join(reps.select("rep", "first_id"), "rep").select(F.coalesce("first_id", F.lit(-1)).alias("_id")))
-    n_bloom = block_count(need.count())
+    need = trie.select("rep").distinct().join(reps.select("rep", "first_id"), "rep").select(F.coalesce("first_id", F.lit(-1)).alias("_id"))
+    n_bloom = block_count(-(-trie.count() // 2))  # a class is in two tries or more, as a rule; more keys only let more texts through
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), "text")
     text = bloom_probe(text, "_id", bloom_blocks(need, "_id", n_bloom), n_bloom).where("_maybe")
     load = saved(with_shingles(text).dropDuplicates(["rep"]).join(reps.select("rep", "size", "sig"), "rep"))
