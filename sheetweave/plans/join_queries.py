@@ -468,6 +468,12 @@ def _(v: Views) -> DataFrame:
     return k.withColumn("run", F.sum("ch").over(w)).groupBy("sheet_id", "run").agg(F.bool_or("bit").alias("bit"), F.count("*").alias("n"))
 
 
+@query("WIN_10_path_order", sql("SELECT sheet_id, a, b, row_number() OVER (PARTITION BY sheet_id ORDER BY a, b) AS idx FROM (SELECT DISTINCT sheet_id, a, b FROM edge)", "edge"))
+def _(v: Views) -> DataFrame:
+    """Paths in the order of their ends."""
+    return v.edge().select("sheet_id", "a", "b").distinct().withColumn("idx", F.row_number().over(Window.partitionBy("sheet_id").orderBy("a", "b")))
+
+
 @query("WIN_11_limit_per_class", sql("SELECT sheet_id, cls, node FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, cls ORDER BY node) AS r FROM sym) WHERE r <= 2", "sym"))
 def _(v: Views) -> DataFrame:
     return v.sym().withColumn("r", F.row_number().over(Window.partitionBy("sheet_id", "cls").orderBy("node"))).where("r <= 2").select("sheet_id", "cls", "node")
@@ -568,6 +574,14 @@ def _(v: Views) -> DataFrame:
     return assign.suppress(v.predd(), rank="pos", distance=60.0, strict=True)
 
 
+@query("CLU_04_tile_nms")
+def _(v: Views) -> DataFrame:
+    """Boxes of 50 px around all detections, by confidence."""
+    order = Window.partitionBy("sheet_id").orderBy(F.col("conf").isNull(), F.col("conf").desc(), "pos")
+    around = [c.alias(n) for n, c in zip(Box._fields, spatial.at_point(F.col("px"), F.col("py"), 25.0), strict=True)]
+    return assign.non_maximum(v.predd().select("sheet_id", F.row_number().over(order).cast("long").alias("rank"), *around))
+
+
 PARTS = """inner_ AS (SELECT sheet_id, node FROM sym WHERE cls IN ('connector', 'crossing', 'arrow')), be AS (SELECT sheet_id, a, b FROM pair UNION SELECT sheet_id, b, a FROM pair),
   reach(sheet_id, node, root) AS (SELECT sheet_id, node, node FROM inner_ UNION SELECT r.sheet_id, be.b, r.root FROM reach r JOIN be ON be.sheet_id = r.sheet_id AND be.a = r.node JOIN inner_ i ON i.sheet_id = be.sheet_id AND i.node = be.b),
   parts AS (SELECT sheet_id, node, min(root) AS component FROM reach GROUP BY sheet_id, node)"""

@@ -43,8 +43,8 @@ def class_names(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "cls")).select(F.col("k").cast("int").alias("cls_id"), "cls")
 
 
-def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). Attribute ids are resolved by each file's own declarations; a node needs four numbers, an edge's line type is solid unless declared."""
+def read_graphml(spark: SparkSession, path: str, *, no_class: str | None = None, no_line: str = "solid") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges). Attribute ids are resolved by each file's own declarations; a node needs four numbers. no_class and no_line stand for what isn't declared; with empty strings for both, files are read as they are."""
     def rows(tag: str, fields: str) -> DataFrame:
         return spark.read.format("xml").option("rowTag", tag).schema(fields).load(path).withColumn("file", F.col("_metadata.file_path"))
 
@@ -58,13 +58,29 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     n = wide(rows("node", f"_id string, {data}"), "node", ["_id"])
     number = lambda k: F.try_element_at("m", F.lit(k)).try_cast("double")
-    nodes = n.select(sheet_of(F.col("file")).alias("sheet_id"), F.col("_id").alias("node"), F.try_element_at("m", F.lit("label")).alias("cls"), number("xmin").alias("x0"), number("ymin").alias("y0"), number("xmax").alias("x1"), number("ymax").alias("y1"))
+    nodes = n.select(sheet_of(F.col("file")).alias("sheet_id"), F.col("_id").alias("node"), F.coalesce(F.try_element_at("m", F.lit("label")), F.lit(no_class)).alias("cls"), number("xmin").alias("x0"), number("ymin").alias("y0"), number("xmax").alias("x1"), number("ymax").alias("y1"))
     nodes = nodes.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
     e = wide(rows("edge", f"_source string, _target string, {data}"), "edge", ["_source", "_target"])
-    edges = e.select(sheet_of(F.col("file")).alias("sheet_id"), F.col("_source").alias("a"), F.col("_target").alias("b"), F.coalesce(F.try_element_at("m", F.lit("edge_label")), F.lit("solid")).alias("line_type"))
+    edges = e.select(sheet_of(F.col("file")).alias("sheet_id"), F.col("_source").alias("a"), F.col("_target").alias("b"), F.coalesce(F.try_element_at("m", F.lit("edge_label")), F.lit(no_line)).alias("line_type"))
     return nodes, edges
 
 
+def linked_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Undirected edges, each once, whose ends are both among the nodes: sheet_id, a, b with a before b."""
+    known = nodes.select("sheet_id", "node").distinct()
+    both = edges.select("sheet_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return both.join(known.withColumnRenamed("node", "a"), ["sheet_id", "a"], "left_semi").join(known.withColumnRenamed("node", "b"), ["sheet_id", "b"], "left_semi").select("sheet_id", "a", "b")
+
+
+def graphml_centers(files: DataFrame) -> DataFrame:
+    """files: sheet_id, value (a whole file). Class and box centre of nodes by pattern, for files whose coordinates are under d1 to d4 or d5 to d8 without declarations; nodes that lack a class or a coordinate are left out."""
+    body = F.explode(F.regexp_extract_all("value", F.lit(r'(?s)<node id="[^"]*">(.*?)</node>'), F.lit(1))).alias("body")
+    under = lambda key, what: F.nullif(F.regexp_extract("body", rf'<data key="{key}">({what})</data>', 1), F.lit(""))
+    side = [F.coalesce(*(under(f"d{i + k}", "[0-9.]+").try_cast("double") for k in (0, 4))) for i in range(1, 5)]
+    rows = files.select("sheet_id", body).select("sheet_id", under("d0", r"\w+").alias("cls"), *(c.alias(n) for c, n in zip(side, ("x0", "y0", "x1", "y1"), strict=True))).dropna()
+    return rows.select("sheet_id", "cls", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+
+
 def graphml_accepted(nodes: DataFrame, n_files: int) -> Column | bool:
     """Whether at least half of the sampled files (one at least) have two nodes or more."""
     good = nodes.groupBy("sheet_id").agg(F.count("*").alias("n")).where("n >= 2").count()

@@ -30,6 +30,11 @@ def write_splits(df: DataFrame, path: str, split: Column) -> None:
     df.withColumn("split", split).write.mode("overwrite").partitionBy("split").json(path)
 
 
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """A manifest, one JSON object a row, that read_records or any JSON reader takes."""
+    rows.write.mode("overwrite").json(path)
+
+
 def write_stage(df: DataFrame, root: str, stage: str, job: str) -> str:
     """A stage's artifact at its fixed place."""
     at = f"{root}/stage={stage}/job_id={job}"

@@ -148,6 +148,38 @@ def test_graphml(spark, tmp_path):
     assert not readers.graphml_accepted(nodes, 1)
 
 
+def test_graphml_variants(spark, tmp_path):
+    """Files read as they are, edges once between known ends, coordinates by pattern under either set of keys."""
+    (tmp_path / "7.graphml").write_text("""<?xml version="1.0"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">
+<key id="d1" for="node" attr.name="xmin"/><key id="d2" for="node" attr.name="ymin"/><key id="d3" for="node" attr.name="xmax"/><key id="d4" for="node" attr.name="ymax"/>
+<graph><node id="n1"><data key="d1">1</data><data key="d2">2</data><data key="d3">3</data><data key="d4">4</data></node><node id="n2"><data key="d1">1</data><data key="d2">2</data><data key="d3">3</data><data key="d4">4</data></node>
+<edge source="n2" target="n1"/><edge source="n1" target="n2"/><edge source="n1" target="n9"/></graph></graphml>""")
+    nodes, edges = readers.read_graphml(spark, str(tmp_path / "7.graphml"), no_class="", no_line="")
+    assert {(r["node"], r["cls"]) for r in nodes.collect()} == {("n1", ""), ("n2", "")} and {r["line_type"] for r in edges.collect()} == {""}
+    assert [tuple(r) for r in readers.linked_edges(nodes, edges).collect()] == [("7", "n1", "n2")]
+    text = '<node id="a"><data key="d0">valve</data><data key="d5">0</data><data key="d6">2</data><data key="d7">4.5</data><data key="d8">4</data></node>\n<node id="b">\n<data key="d0">tank</data>\n<data key="d1">0</data><data key="d2">0</data><data key="d3">2</data><data key="d4">2</data></node><node id="c"><data key="d0">pump</data><data key="d1">0</data></node><node id="d"><data key="d1">0</data><data key="d2">0</data><data key="d3">2</data><data key="d4">2</data></node>'
+    got = readers.graphml_centers(spark.createDataFrame([("7", text), ("8", None), ("9", "")], "sheet_id string, value string")).collect()
+    assert sorted(map(tuple, got)) == [("7", "tank", 1.0, 1.0), ("7", "valve", 2.25, 3.0)]
+    sinks.write_manifest(nodes.select("sheet_id", "node"), f"{tmp_path}/manifest")
+    assert readers.read_records(spark, f"{tmp_path}/manifest", "sheet_id string, node string").count() >= 1
+
+
+def test_non_maximum(spark):
+    """Against the plain greedy rule."""
+    rng = np.random.default_rng(5)
+    rows = [(s, r, float(x), float(y), float(x + w), float(y + h)) for s in range(3) for r, (x, y, w, h) in enumerate(zip(*(rng.integers(lo, hi, 120) for lo, hi in ((-200, 200), (-200, 200), (20, 150), (20, 150))), strict=True))]
+    got = {(r["sheet_id"], r["rank"]) for r in assign.non_maximum(spark.createDataFrame(rows, "sheet_id long, rank long, x0 double, y0 double, x1 double, y1 double")).collect()}
+    want = []
+    for s, r, *b in rows:
+        def over(c, b=b):
+            i = max(0, min(b[2], c[2]) - max(b[0], c[0])) * max(0, min(b[3], c[3]) - max(b[1], c[1]))
+            return i / ((b[2] - b[0]) * (b[3] - b[1]) + (c[2] - c[0]) * (c[3] - c[1]) - i)
+
+        if all(k[0] != s or over(k[2:]) < 0.5 for k in want):
+            want.append((s, r, *b))
+    assert got == {k[:2] for k in want} and len(got) < len(rows)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "labels").mkdir()
     (tmp_path / "labels" / "s1.txt").write_text("3 0.5 0.5 0.2 0.1\nbad\n0 0.1 0.1 0.1 0.1\n")
