@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheetweave.functions.geometry import Box, area, box, center, contained, distance2, foot, segment_distance
-from sheetweave.operators.spatial import at_point, grid_join, smallest
+from sheetweave.functions.geometry import Box, area, box, center, contained, distance2, foot, inside, segment_distance
+from sheetweave.operators.assign import bridges
+from sheetweave.operators.spatial import at_point, diagram_area, grid_join, smallest
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -184,15 +185,55 @@ def pieces(segments: DataFrame, cuts: DataFrame) -> DataFrame:
     return rows.select("sheet_id", "seg", "k", along("u", "ax", "bx").alias("ax"), along("u", "ay", "by").alias("ay"), along("w", "ax", "bx").alias("bx"), along("w", "ay", "by").alias("by"))
 
 
-def vector_page_graph(segments: DataFrame, symbols: DataFrame, *, pad: float = 12.0, shortest: float = 1.0, joined: float = 4.0) -> tuple[DataFrame, DataFrame]:
+def clipped(segments: DataFrame, symbols: DataFrame, page_side: float | None = None) -> DataFrame:
+    """Segments whose middle lies in the diagram's area, which drops lines of title blocks and tables; all of a sheet with too few symbols to tell."""
+    names = [f"_area_{n}" for n in Box._fields]
+    area_of = diagram_area(symbols, page_side).toDF("sheet_id", *names)
+    middle = ((F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2)
+    return segments.join(area_of, "sheet_id", "left").where(F.coalesce(inside(*middle, box("_area_")), F.lit(True))).drop(*names)
+
+
+def gap_bridges(segments: DataFrame, *, least: float = 4.0, most: float = 130.0, cosine: float = 0.96) -> DataFrame:
+    """Lines over gaps, such as those that a symbol drawn on a pipe leaves: (sheet_id, i, j, ax, ay, bx, by), from end i to end j.
+
+    segments: sheet_id, seg, ax, ay, bx, by, each longer than 0. Ends are numbered 2 seg and 2 seg + 1. An end is open if no other is
+    within ``least``; two open ends of different segments fit if they are at most ``most`` apart and each points at the
+    other. In the order of their numbers, each takes the nearest that is free.
+    """
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    ux, uy = (F.col("bx") - F.col("ax")) / length, (F.col("by") - F.col("ay")) / length
+    side = lambda k, x, y, dx, dy: F.struct((F.col("seg") * 2 + k).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"), dx.alias("dx"), dy.alias("dy"))
+    ends = cut(segments.select("sheet_id", "seg", F.explode(F.array(side(0, "ax", "ay", -ux, -uy), side(1, "bx", "by", ux, uy))).alias("e")).select("sheet_id", "seg", "e.*"))
+
+    def pairs(df: DataFrame, radius: float, cell: float) -> DataFrame:
+        other = df.select("sheet_id", *(F.col(c).alias(f"o_{c}") for c in ("seg", "i", "x", "y", "dx", "dy")))
+        near = grid_join(df, other, on=["sheet_id"], a=at_point(F.col("x"), F.col("y"), radius), b=at_point(F.col("o_x"), F.col("o_y")), cell=cell)
+        return near.withColumn("d2", distance2(F.col("x"), F.col("y"), F.col("o_x"), F.col("o_y"))).where(F.col("d2") <= radius * radius)
+
+    closed = pairs(ends, least, 64.0).where("i <> o_i").select("sheet_id", "i").distinct()
+    free = cut(ends.join(closed, ["sheet_id", "i"], "left_anti"))
+    toward = lambda sign, dx, dy: sign * (F.col(dx) * (F.col("o_x") - F.col("x")) + F.col(dy) * (F.col("o_y") - F.col("y"))) > cosine * F.sqrt("d2")
+    fit = pairs(free, most, most).where((F.col("i") < F.col("o_i")) & (F.col("seg") != F.col("o_seg")) & (F.col("d2") > least * least) & toward(1, "dx", "dy") & toward(-1, "o_dx", "o_dy"))
+    chosen = bridges(fit.select("sheet_id", "i", F.col("o_i").alias("j"), "d2"))
+    at = lambda n, x, y: free.select("sheet_id", F.col("i").alias(n), F.col("x").alias(x), F.col("y").alias(y))
+    return chosen.join(at("i", "ax", "ay"), ["sheet_id", "i"]).join(at("j", "bx", "by"), ["sheet_id", "j"]).select("sheet_id", "i", "j", "ax", "ay", "bx", "by")
+
+
+def vector_page_graph(segments: DataFrame, symbols: DataFrame, *, pad: float = 12.0, shortest: float = 1.0, joined: float = 4.0, clip: bool = True, bridge: float = 130.0, page_side: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a page's line graph. segments: sheet_id, seg, ax, ay, bx, by; symbols: sheet_id, node and a box.
 
+    Segments outside the diagram's area are left out (clip), and gaps of up to ``bridge`` in a line are closed (none with 0).
     Segments are cut where others end on them, ends are merged, an end within a padded symbol is that symbol, and
     runs of nodes with two neighbours become one edge. Nodes: sheet_id, node, symbol (its id, or null), kind; symbols
     keep their ids, other nodes get negative ones. Edges: sheet_id, a, b, n_edges.
     """
     long_enough = segments.where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) > shortest)
-    part = cut(pieces(long_enough, split_points(long_enough)))
+    drawn = clipped(long_enough, symbols, page_side) if clip else long_enough
+    number = F.row_number().over(Window.partitionBy("sheet_id").orderBy("seg", "ax", "ay", "bx", "by")).cast("long")
+    drawn = cut(drawn.select("sheet_id", number.alias("seg"), "ax", "ay", "bx", "by"))
+    if bridge:
+        drawn = cut(drawn.unionByName(gap_bridges(drawn, least=joined, most=bridge).select("sheet_id", (-F.col("i")).alias("seg"), "ax", "ay", "bx", "by")))
+    part = cut(pieces(drawn, split_points(drawn)))
     end = lambda side: F.xxhash64("sheet_id", "seg", "k", F.lit(side))
     part = part.withColumn("p", end(0)).withColumn("q", end(1))
     points = part.select("sheet_id", F.col("p").alias("node"), F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(part.select("sheet_id", F.col("q").alias("node"), F.col("bx").alias("x"), F.col("by").alias("y")))

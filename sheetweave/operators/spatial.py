@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheetweave.functions.geometry import Box, box
+from sheetweave.functions.geometry import Box, box, center
 
 
 def grid_join(left: DataFrame, right: DataFrame, *, on: list[str], a: Box, b: Box, cell: float, how: Column | None = None) -> DataFrame:
@@ -62,3 +62,11 @@ def k_nearest_pairs(nodes: DataFrame, k: int, *, id_col: str = "node") -> DataFr
     order = Window.partitionBy("sheet_id", "p").orderBy("d2", "q")
     near = here.join(there, "sheet_id").where("p <> q").withColumn("d2", d2).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     return near.select("sheet_id", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def diagram_area(symbols: DataFrame, page_side: float | None = None, *, share: float = 0.03, least: int = 8) -> DataFrame:
+    """(sheet_id, ax0, ay0, ax1, ay1): the box of the symbols' centres, padded by a share of the page's longer side, or of its own if that isn't known; null for fewer than least."""
+    x, y = center(box())
+    spread = symbols.groupBy("sheet_id").agg(F.count("*").alias("n"), F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
+    pad = share * (F.lit(page_side) if page_side is not None else F.greatest(box().width, box().height))
+    return spread.select("sheet_id", *(F.when(F.col("n") >= least, c).alias(f"a{name}") for name, c in zip(Box._fields, box().padded(pad), strict=True)))

@@ -320,6 +320,14 @@ def _(v: Views) -> DataFrame:
     return graphs.vector_page_graph(segments(v), v.sym())[1]
 
 
+@query("GRF_06_clip", sql("AND a AS (SELECT sheet_id, count(*) AS n, min((x0 + x1) / 2) AS lx, max((x0 + x1) / 2) AS hx, min((y0 + y1) / 2) AS ly, max((y0 + y1) / 2) AS hy FROM sym WHERE cls <> 'connector' GROUP BY sheet_id), p AS (SELECT *, 0.03 * greatest(hx - lx, hy - ly) AS pad FROM a) SELECT s.sheet_id, s.node FROM sym s LEFT JOIN p USING (sheet_id) WHERE coalesce(n, 0) < 8 OR (s.x0 BETWEEN lx - pad AND hx + pad AND (s.y0 + s.y1) / 2 BETWEEN ly - pad AND hy + pad)", "sym"))
+def _(v: Views) -> DataFrame:
+    """Lines to the left of symbols, clipped to the area of the symbols that aren't connectors."""
+    x, y = F.col("x0"), (F.col("y0") + F.col("y1")) / 2
+    lines = v.sym().select("sheet_id", F.col("node").alias("seg"), (x - 15).alias("ax"), y.alias("ay"), (x + 15).alias("bx"), y.alias("by"))
+    return graphs.clipped(lines, v.sym().where("cls <> 'connector'")).select("sheet_id", F.col("seg").alias("node"))
+
+
 @query("GRF_10_effective_symbol", sql("SELECT sheet_id, a, b, CASE WHEN a % 3 = 0 THEN a WHEN a % 3 = 1 THEN b END AS symbol FROM pair", "pair"))
 def _(v: Views) -> DataFrame:
     """An end's own symbol, else the one its junction belongs to."""

@@ -11,6 +11,7 @@ from sheetweave.functions import geometry as g
 from sheetweave.functions import parsing as p
 from sheetweave.functions import text as t
 from sheetweave.functions.geometry import Box, box
+from sheetweave.operators.spatial import diagram_area
 from sheetweave.plans.fixtures import Views, issues_of, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,12 +81,6 @@ add("GEO_12_segment_length", lambda v: v.edge().where(F.hypot((F.col("b") - F.co
 add("GEO_13_percentile", lambda v: v.sym().groupBy("sheet_id").agg(F.percentile("x0", 0.25).alias("p25"), F.percentile("y0", 0.9).alias("p90")), sql("SELECT sheet_id, quantile_cont(x0, 0.25) AS p25, quantile_cont(y0, 0.9) AS p90 FROM sym GROUP BY sheet_id", "sym"))
 
 
-def diagram_area(symbols: DataFrame, page_side: float, least: int = 8) -> DataFrame:
-    """The box of the symbols' centres, padded by three per cent of the page's longer side; null for fewer than eight."""
-    few, pad = F.count("*") < least, 0.03 * page_side
-    return symbols.groupBy("sheet_id").agg(*(F.when(~few, e).alias(k) for k, e in (("ax0", F.min(cx) - pad), ("ay0", F.min(cy) - pad), ("ax1", F.max(cx) + pad), ("ay1", F.max(cy) + pad))))
-
-
 AREA = "SELECT sheet_id, CASE WHEN count(*) >= 8 THEN min((x0 + x1) / 2) - 126 END AS ax0, CASE WHEN count(*) >= 8 THEN min((y0 + y1) / 2) - 126 END AS ay0, CASE WHEN count(*) >= 8 THEN max((x0 + x1) / 2) + 126 END AS ax1, CASE WHEN count(*) >= 8 THEN max((y0 + y1) / 2) + 126 END AS ay1"
 add("GEO_14_diagram_area", lambda v: diagram_area(v.sym(), 4200.0), sql(f"{AREA} FROM sym GROUP BY sheet_id", "sym"))
 add("GEO_15_outside_area", lambda v: v.word().select("sheet_id", "pos", (cx + F.col("pos") % 900).alias("wx"), cy.alias("wy")).join(diagram_area(v.sym(), 4200.0), "sheet_id").groupBy("sheet_id").agg(F.count_if(outside).alias("n_outside")), sql(f"AND a AS ({AREA} FROM sym GROUP BY sheet_id) SELECT sheet_id, count(*) FILTER (WHERE NOT ((x0 + x1) / 2 + pos % 900 BETWEEN ax0 AND ax1 AND (y0 + y1) / 2 BETWEEN ay0 AND ay1)) AS n_outside FROM word JOIN a USING (sheet_id) GROUP BY sheet_id", "word"))

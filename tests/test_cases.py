@@ -1,6 +1,8 @@
 """Small literal cases of the drawing operators."""
 
 import json
+import math
+import random
 
 import numpy as np
 import pytest
@@ -116,6 +118,53 @@ def test_vector_page_graph(spark):
     assert sorted((r["a"], r["b"]) for r in paths.collect()) == [(1, 2), (1, 3), (2, 3)]
 
 
+LINES = "sheet_id long, seg long, ax double, ay double, bx double, by double"
+
+
+def test_page_graph_clips_and_bridges(spark):
+    """A gap in a line is closed, one that is too long isn't, and a title block's line goes only where there are symbols enough to tell."""
+    boxes = [(s, 10 * s + k, 300.0 * k, 0.0, 300.0 * k + 20, 20.0) for s, n in ((0, 8), (1, 7)) for k in range(n)]
+    symbols = spark.createDataFrame(boxes, "sheet_id long, node long, x0 double, y0 double, x1 double, y1 double")
+    lines = [(20.0, 10.0, 100.0, 10.0), (180.0, 10.0, 300.0, 10.0), (320.0, 10.0, 400.0, 10.0), (540.0, 10.0, 600.0, 10.0), (0.0, 900.0, 50.0, 900.0)]
+    rows = spark.createDataFrame([(s, k, *xy) for s in (0, 1) for k, xy in enumerate(lines)], LINES)
+    nodes, edges = graphs.vector_page_graph(rows, symbols)
+    at = lambda s: sorted(r["n_edges"] for r in edges.where(f"sheet_id = {s}").collect())
+    assert (at(0), at(1)) == ([1, 1, 3], [1, 1, 1, 3])
+    paths = graphs.symbol_paths(nodes.select("sheet_id", "node", F.col("symbol").isNotNull().alias("symbol")), edges)
+    assert sorted((r["a"], r["b"]) for r in paths.collect()) == [(0, 1), (10, 11)]
+    _, apart = graphs.vector_page_graph(rows, symbols, clip=False, bridge=0)
+    assert sorted(r["n_edges"] for r in apart.where("sheet_id = 0").collect()) == [1] * 5
+
+
+def test_gap_bridges_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for seg in range(160):
+        x, y, n = rng.randrange(0, 1200, 30), rng.randrange(0, 90, 30), rng.choice((3, 25, 50))
+        rows.append((seg % 2, seg, float(x), float(y), float(x + n), float(y + rng.choice((0, 0, 1)))))
+    want = set()
+    for sheet in (0, 1):
+        ends = []
+        for _, seg, ax, ay, bx, by in (r for r in rows if r[0] == sheet):
+            n = math.hypot(bx - ax, by - ay)
+            ends += [(2 * seg, ax, ay, (ax - bx) / n, (ay - by) / n), (2 * seg + 1, bx, by, (bx - ax) / n, (by - ay) / n)]
+        free = [e for e in ends if all(o is e or math.dist(e[1:3], o[1:3]) > 4 for o in ends)]
+        used = set()
+        for e in free:
+            fit = []
+            for o in free:
+                d = math.dist(e[1:3], o[1:3])
+                if e[0] // 2 != o[0] // 2 and not {e[0], o[0]} & used and 4 < d <= 130:
+                    u = ((o[1] - e[1]) / d, (o[2] - e[2]) / d)
+                    if e[3] * u[0] + e[4] * u[1] > 0.96 and -o[3] * u[0] - o[4] * u[1] > 0.96:
+                        fit.append((round(d * d, 6), o[0]))
+            if fit:
+                used |= {e[0], min(fit)[1]}
+                want.add((sheet, e[0], min(fit)[1]))
+    assert len(want) > 10
+    assert {(r["sheet_id"], r["i"], r["j"]) for r in graphs.gap_bridges(spark.createDataFrame(rows, LINES)).collect()} == want
+
+
 def test_cycles(spark):
     rows = [(0, 1, 2, 5.0), (0, 2, 3, 1.0), (0, 3, 1, 9.0), (0, 4, 1, 1.0), (0, 5, 5, 1.0), (0, 6, 99, 1.0), (0, 7, None, 1.0)]
     got = {r["node"]: (r["parent"], r["cut"]) for r in assign.break_cycles(spark.createDataFrame(rows, "sheet_id long, node long, parent long, area double")).collect()}
