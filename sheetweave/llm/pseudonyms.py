@@ -8,8 +8,8 @@ each below a radix of its own: 10 for digits, 26 or 31 for letters, 16 for hexad
 octets, 17 and 4297 for the 73,049 days of two centuries. Rounds alternate: one half of the symbols gets,
 modulo its radixes, numbers from HMAC-SHA-256 with the key over the kind, the round and the other half. That permutes
 the values of one format, so equal values get equal pseudonyms in all documents and different values of a
-format never share one. A card number's distance from its right Luhn digit, the country code, an e-mail's
-domain, punctuation and letter case stay as they are. The key is data of a one-row table that the plan reads as a scalar
+format never share one. A card number's distance from its right Luhn digit, the country code or what marks a national
+number, an e-mail's domain, punctuation and letter case stay as they are. The key is data of a one-row table that the plan reads as a scalar
 subquery, so no plan, event log or user interface shows it.
 
 Edge cases: null text stays null with no pseudonyms; text without such values, or empty, is unchanged;
@@ -42,6 +42,8 @@ PHONE = (
     r"|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,5}|\([0-9]{2,5}\)[ .-]?[0-9]{5,9}|(?<![.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
     r"|(?<![.-])0[1-9](?:[ .-][0-9]{2}){4}(?![ .-][0-9])|(?<![.-]|[0-9] )[6-9][0-9]{2}[ -][0-9]{3}[ -][0-9]{3}(?![ .-][0-9]))(?![0-9])"
 )
+#: What stays of a telephone number: its country code, or the digits by which a national format is known.
+PREFIX = r"^(?:\+[0-9]{1,3}|0[1-9](?=(?:[ .-][0-9]{2}){4}$)|[6-9](?=[0-9]{2}[ -][0-9]{3}[ -][0-9]{3}$))"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP, DATE, CARD, PHONE))
 #: Letters and digits that are permuted within their own alphabet.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", *("".join(map(chr, range(lo, hi))) for lo, hi in ((0x430, 0x450), (0x410, 0x430), (0x3B1, 0x3C2), (0x391, 0x3A2))))
@@ -81,7 +83,7 @@ def _kind(m: Column, checked: bool) -> Column:
 
 def _shape(m: Column, kind: Column) -> Column:
     """The part of a found string whose symbols are permuted."""
-    return F.when(kind == "email", F.substring_index(m, "@", 1)).when(kind == "hex", F.translate(m, "ABCDEF", "abcdef")).when(kind == "phone", F.regexp_replace(m, r"^\+[0-9]{1,3}", "")).otherwise(m)
+    return F.when(kind == "email", F.substring_index(m, "@", 1)).when(kind == "hex", F.translate(m, "ABCDEF", "abcdef")).when(kind == "phone", F.regexp_replace(m, PREFIX, "")).otherwise(m)
 
 
 def _alphabet(c: Column, kind: Column) -> Column:
@@ -160,7 +162,7 @@ def _write(s: Column) -> Column:
         .when(kind == "date", dated)
         .when(kind == "hex", F.when(m.rlike("[a-f]"), filled).otherwise(F.upper(filled)))
         .when(kind == "email", F.concat(filled, F.lit("@"), F.substring_index(m, "@", -1)))
-        .when(kind == "phone", F.concat(F.regexp_extract(m, r"^(\+[0-9]{1,3})?", 0), filled))
+        .when(kind == "phone", F.concat(F.regexp_extract(m, f"(?:{PREFIX})?", 0), filled))
         .otherwise(filled)
     )
 
