@@ -8,6 +8,8 @@ Coordinates come from integer arithmetic, so every engine derives the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +52,30 @@ class Views:
         sheet = F.floor(F.col("l_partkey") / 100) * ISSUES + F.col("l_orderkey") % ISSUES
         return self.table("lineitem").withColumn("sheet_id", sheet).withColumn("node", sheet * 100 + F.col("l_partkey") % 100)
 
+    def pages(self, wide: int = 1200, high: int = 900) -> DataFrame:
+        """A drawn page of each sheet: the outlines of its symbols, and a pipe from the middle of each to that of the next, every other one dashed."""
+        listed = F.array_sort(F.collect_list(F.struct("node", *(F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")))))
+
+        def draw(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pandas as pd
+
+            for batch in batches:
+                for sheet, symbols in zip(batch["sheet_id"], batch["symbols"], strict=True):
+                    page = np.full((high + 80, wide + 80), 255, np.uint8)
+                    middle = [((s["x0"] + s["x1"]) // 2, (s["y0"] + s["y1"]) // 2) for s in symbols]
+                    for k, ((x, y), (u, w)) in enumerate(zip(middle, middle[1:], strict=False)):
+                        on = (np.arange(max(page.shape)) // 9 % 2 == 0) | (k % 2 == 0)
+                        for part, n in ((page[y - 1 : y + 2, min(x, u) : max(x, u) + 1], abs(x - u) + 1), (page[min(y, w) : max(y, w) + 1, u - 1 : u + 2].T, abs(y - w) + 1)):
+                            part[:, on[:n]] = 20
+                    for s in symbols:
+                        page[s["y0"] : s["y1"] + 1, s["x0"] : s["x1"] + 1] = 20
+                        page[s["y0"] + 3 : s["y1"] - 2, s["x0"] + 3 : s["x1"] - 2] = 250
+                    yield pd.DataFrame({"sheet_id": [sheet], "width": [page.shape[1]], "height": [page.shape[0]], "grey": [page.tobytes()]})
+
+        sheets = self.sym(wide, high).groupBy("sheet_id").agg(listed.alias("symbols"))
+        return sheets.mapInPandas(draw, "sheet_id long, width int, height int, grey binary")
+
     def symd(self) -> DataFrame:
         return self.sym(600, 450)
 

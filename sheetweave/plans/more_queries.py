@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from sheetweave.functions import prompts
 from sheetweave.functions.geometry import Box, box, center
 from sheetweave.functions.text import AGENT_TYPES, alnum, mapped, temp_id, token_overlap
-from sheetweave.operators import assign, graphs, metrics, raster, relations, spatial
+from sheetweave.operators import assign, graphs, metrics, raster, relations, spatial, tracing
 from sheetweave.plans.fixtures import Views, issues_of, sql
 from sheetweave.plans.join_queries import KTYPE, RANKED, hits, segments
 from sheetweave.sources import readers, sinks
@@ -449,3 +449,34 @@ def _(v: Views) -> DataFrame:
 @query("RAS_07_stroke_runs", sql(f"AND {INK}, s AS (SELECT sheet_id, y, x, x - row_number() OVER (PARTITION BY sheet_id, y ORDER BY x) AS g FROM ink), r AS (SELECT sheet_id, y, g, count(*) AS n FROM s GROUP BY sheet_id, y, g) SELECT sheet_id, count(*) AS runs, max(n) AS longest FROM r GROUP BY sheet_id", "sym"))
 def _(v: Views) -> DataFrame:
     return raster.runs(pixels(v)).groupBy("sheet_id").agg(F.count("*").alias("runs"), F.max("n").alias("longest"))
+
+
+def traced(v: Views) -> DataFrame:
+    """The line graphs of drawn pages, one for each sheet of parts."""
+    one = Views(v.spark, v.sf_dir, 1)
+    return tracing.trace_pages(one.pages(), one.sym(1200, 900))
+
+
+@query("RAS_10_page_graph")
+def _(v: Views) -> DataFrame:
+    return traced(v).where("part = 'segment'").select("sheet_id", "idx", F.to_json("points").alias("points"), "style", "line_type", "confidence", "a_kind", "a_ref", "b_kind", "b_ref", F.to_json("through").alias("through"))
+
+
+@query("RAS_04_05_junctions")
+def _(v: Views) -> DataFrame:
+    return traced(v).where("part = 'junction'").select("sheet_id", "idx", F.element_at(F.element_at("points", 1), 1).alias("x"), F.element_at(F.element_at("points", 1), 2).alias("y"), "kind", "ambiguous")
+
+
+@query("RAS_01_03_thinned")
+def _(v: Views) -> DataFrame:
+    return tracing.thinned(Views(v.spark, v.sf_dir, 1).pages())
+
+
+@query("RAS_11_autocontrast", "WITH g AS (SELECT p_partkey // 100 AS sheet_id, p_partkey % 100 AS node, (p_size * 5 + p_partkey * 7) % 180 + 30 AS g FROM part), m AS (SELECT sheet_id, min(g) AS lo, max(g) AS hi FROM g GROUP BY sheet_id) SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY node) AS place, CAST(CASE WHEN hi = lo THEN g ELSE trunc(g * (255e0 / (hi - lo)) - lo * (255e0 / (hi - lo))) END AS BIGINT) AS level FROM g JOIN m USING (sheet_id)")
+def _(v: Views) -> DataFrame:
+    """Pages of one row of pixels, whose grey levels come from the parts of a sheet."""
+    level = F.format_string("%02X", (F.col("p_size") * 5 + F.col("p_partkey") * 7) % 180 + 30)
+    dots = v.table("part").groupBy(F.floor(F.col("p_partkey") / 100).alias("sheet_id")).agg(F.array_sort(F.collect_list(F.struct((F.col("p_partkey") % 100).alias("node"), level.alias("hex")))).alias("dots"))
+    pages = dots.select("sheet_id", F.size("dots").alias("width"), F.lit(1).alias("height"), F.unhex(F.array_join("dots.hex", "")).alias("grey"))
+    places = tracing.enhanced(pages).withColumn("place", F.explode(F.sequence(F.lit(1), F.col("width"))))
+    return places.select("sheet_id", F.col("place").cast("long").alias("place"), F.conv(F.hex(F.expr("substring(grey, place, 1)")), 16, 10).cast("long").alias("level"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sheetweave.functions import geometry as g
 from sheetweave.functions import parsing as p
 from sheetweave.functions import text as t
-from sheetweave.operators import assign, graphs, metrics, raster, relations, spatial, tiling
+from sheetweave.operators import assign, graphs, metrics, raster, relations, spatial, tiling, tracing
 from sheetweave.sources import readers, sinks
 
 
@@ -268,3 +268,152 @@ def test_class_names_beyond_ten_thousand(spark):
     names = spark.range(20_000).selectExpr("cast(id as int) cls_id", "concat('n', id) cls")
     boxes = spark.createDataFrame([(5,), (10_500,), (19_999,), (20_001,)], "cls_id int")
     assert {r["cls_id"]: r["cls"] for r in readers.named(boxes, names).collect()} == {5: "n5", 10_500: "n10500", 19_999: "n19999", 20_001: "class_20001"}
+
+
+def flood(mask):
+    """Regions of touching pixels, pixel by pixel."""
+    out, n = np.zeros(mask.shape, int), 0
+    for start in zip(*np.nonzero(mask), strict=True):
+        if out[start]:
+            continue
+        n += 1
+        todo = [start]
+        while todo:
+            y, x = todo.pop()
+            if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x] and not out[y, x]:
+                out[y, x] = n
+                todo += [(y + j, x + i) for i, j in tracing.AROUND]
+    return out
+
+
+def test_regions_by_brute_force():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        mask = rng.random((rng.integers(1, 25), rng.integers(1, 25))) < rng.random()
+        assert (tracing.regions(mask) == flood(mask)).all()
+    assert tracing.regions(np.zeros((3, 3), bool)).max() == 0
+
+
+def test_neighbours_and_spread_by_brute_force():
+    ink = np.random.default_rng(1).random((17, 23)) < 0.4
+    near = lambda y, x, r: ink[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1]
+    for y in range(17):
+        for x in range(23):
+            assert tracing.neighbours(ink)[y, x] == near(y, x, 1).sum() - ink[y, x]
+            assert tracing._spread(ink, 3)[y, x] == near(y, x, 3).any()
+
+
+def thin_page(*strokes):
+    page = np.zeros((100, 160), np.uint8)
+    for x0, y0, x1, y1 in strokes:
+        page[y0 : y1 + 1, x0 : x1 + 1] = 1
+    return page
+
+
+def test_junctions():
+    tee = thin_page((10, 50, 150, 50), (80, 50, 80, 95))
+    assert [(j.kind, abs(j.x - 80) <= 1, abs(j.y - 50) <= 1) for j in tracing.junctions(tee)] == [("tee", True, True)]
+    assert [j.kind for j in tracing.junctions(thin_page((10, 50, 150, 50), (80, 5, 80, 95)))] == ["cross"]
+    assert tracing.junctions(thin_page((10, 50, 80, 50), (80, 50, 80, 95))) == []  # a bend
+    star = thin_page((10, 50, 150, 50), (80, 5, 80, 95))
+    for k in range(40):
+        star[50 + k, 80 + k] = 1
+    assert [j.kind for j in tracing.junctions(star)] == ["joint"]
+    assert tracing.junctions(np.zeros((9, 9), np.uint8)) == []
+
+
+def test_polylines():
+    bend = thin_page((10, 50, 80, 50), (80, 50, 80, 95))
+    assert tracing.polylines(bend, []) == [[(10, 50), (79, 50), (80, 95)]]  # the shortest way cuts the corner
+    cross = thin_page((10, 50, 150, 50), (80, 5, 80, 95))
+    assert sorted(map(sorted, tracing.polylines(cross, [(80, 50)]))) == [[(10, 50), (74, 50)], [(80, 5), (80, 44)], [(80, 56), (80, 95)], [(86, 50), (150, 50)]]
+    ring = thin_page((20, 20, 60, 20), (20, 60, 60, 60), (20, 20, 20, 60), (60, 20, 60, 60))
+    ring[20, 20] = ring[20, 60] = ring[60, 20] = ring[60, 60] = 0
+    assert tracing.polylines(ring, []) == []
+    assert tracing.polylines(thin_page((5, 5, 5, 5)), []) == []
+    points = [(x, round(8 * np.sin(x / 9))) for x in range(120)]
+    kept = tracing.simplified(points, 2.0)
+    for p in points:  # no point is further than the tolerance from the line that is left
+        gaps = []
+        for a, b in zip(kept, kept[1:], strict=False):
+            d, r = np.subtract(b, a), np.subtract(p, a)
+            gaps.append(np.hypot(*(r - np.clip(r @ d / (d @ d), 0, 1) * d)))
+        assert min(gaps) <= 2.0
+    assert kept[0] == points[0] and kept[-1] == points[-1] and len(kept) < 30
+
+
+def test_bridged():
+    line = lambda *points: tracing.Line(list(points), [])
+    box = np.array([[40, 40, 60, 60]])
+    assert tracing.bridged([line((0, 50), (35, 50)), line((100, 50), (65, 50))], box, [7]) == [([(0, 50), (35, 50), (65, 50), (100, 50)], [7])]
+    apart = [line((0, 45), (35, 45)), line((0, 55), (35, 55))]  # both from the left
+    assert tracing.bridged(apart, box, [7]) == apart
+    away = [line((0, 50), (5, 50)), line((65, 50), (100, 50))]
+    assert tracing.bridged(away, box, [7], gap=30) == away
+    two = [line((0, 50), (35, 50)), line((65, 50), (95, 50)), line((125, 50), (160, 50))]
+    assert tracing.bridged(two, np.array([[40, 40, 60, 60], [100, 40, 120, 60]]), [7, 9]) == [([(0, 50), (35, 50), (65, 50), (95, 50), (125, 50), (160, 50)], [7, 9])]
+    assert tracing.bridged([], box, [7]) == [] and tracing.bridged(two, np.zeros((0, 4), int), []) == two
+
+
+def test_joined():
+    line = lambda *points: tracing.Line(list(points), [])
+    dashes = [line((x, 10), (x + 12, 10)) for x in range(0, 200, 20)]
+    got = tracing.joined(dashes, [])
+    assert len(got) == 1 and sorted({got[0].points[0], got[0].points[-1]}) == [(0, 10), (192, 10)] and len(got[0].points) == 20
+    assert len(tracing.joined(dashes[:2], [(16, 12)])) == 2  # a junction is in the gap
+    assert len(tracing.joined([line((0, 0), (30, 0)), line((34, 0), (34, 30))], [])) == 2  # a bend
+    assert len(tracing.joined([line((0, 0), (30, 0)), line((70, 0), (90, 0))], [])) == 2  # too far
+    assert tracing.joined([line((0, 0), (30, 0)), line((30, 0), (60, 0))], [])[0].points == [(0, 0), (30, 0), (60, 0)]
+    assert len(tracing.joined([line((0, 0), (30, 0)), line((50, 12), (80, 12))], [])) == 2  # beside each other
+    assert tracing.joined([], []) == []
+
+
+def test_close_pairs_by_brute_force():
+    at = np.random.default_rng(2).integers(-60, 200, (80, 2)).astype(float)
+    a, b = tracing._close_pairs(at, 36.0)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(i, j) for i in range(80) for j in range(80) if i != j and np.hypot(*(at[i] - at[j])) <= 36]
+
+
+def test_strokes():
+    page = np.full((20, 300), 255, np.uint8)
+    page[5] = 0
+    page[8, np.arange(300) // 12 % 2 == 0] = 0
+    page[11, np.arange(300) % 15 < 3] = 0
+    style = lambda y: tracing.stroke([(0, y), (299, y)], page)[0]
+    assert [style(y) for y in (5, 8, 11, 14)] == ["continuous", "dashed", "dotted", "unknown"]
+    assert tracing.LINE_TYPES[style(8)] == "electric_signal"
+
+
+def test_enhance():
+    page = np.array([[50, 100], [150, 200]], np.uint8)
+    assert tracing.autocontrast(page).tolist() == [[0, 85], [170, 255]]
+    assert tracing.autocontrast(np.full((2, 2), 9, np.uint8)).tolist() == [[9, 9], [9, 9]]
+    assert (tracing.upscaled(np.full((5, 7), 90, np.uint8), 2) == np.full((10, 14), 90)).all()
+    ramp = tracing.upscaled(np.tile(np.arange(0, 200, 10, dtype=np.uint8), (8, 1)), 2)
+    assert ramp.shape == (16, 40) and (np.diff(ramp[8].astype(int))[8:-8] > 0).all()
+    assert (tracing.upscaled(page, 1) == page).all()
+
+
+def test_page_graph(spark):
+    """Two symbols on a pipe with a valve between them and a branch; a null and an empty page give nothing."""
+    page = np.full((300, 600), 255, np.uint8)
+    page[149:152, 60:560] = 0
+    page[150:290, 399:402] = 0
+    boxes = [(1, 40, 130, 80, 170), (2, 220, 135, 250, 165), (3, 540, 130, 580, 170)]
+    for _, x0, y0, x1, y1 in boxes:
+        page[y0:y1, x0:x1] = 0
+    pages = spark.createDataFrame([(1, 600, 300, bytearray(page.tobytes())), (2, 0, 0, bytearray()), (3, None, None, None), (4, 600, 300, bytearray(page.tobytes()))], "sheet_id long, width int, height int, grey binary")
+    symbols = spark.createDataFrame([(1, i, *map(float, b)) for i, *b in boxes], "sheet_id long, node long, x0 double, y0 double, x1 double, y1 double")
+    rows = tracing.trace_pages(pages, symbols, symbols.where("node < 0")).collect()
+    of = lambda sheet, part: [r for r in rows if r["sheet_id"] == sheet and r["part"] == part]
+    assert [(r["kind"], r["ambiguous"]) for r in of(1, "junction")] == [("tee", False)]
+    ends = {tuple(sorted([(r["a_kind"], r["a_ref"]), (r["b_kind"], r["b_ref"])], key=str)) for r in of(1, "segment")}
+    assert ends == {(("junction", 0), ("symbol", 1)), (("junction", 0), ("symbol", 3)), (("junction", 0), ("loose_end", None))}
+    assert [r["through"] for r in of(1, "segment") if r["through"]] == [[2]]
+    assert {r["line_type"] for r in of(1, "segment")} == {"process"}
+    assert {r["sheet_id"] for r in rows} <= {1, 4}
+    assert tracing.trace_pages(pages.where("sheet_id > 9"), symbols).count() == 0
+    assert [(r["sheet_id"], r["width"], r["height"]) for r in tracing.enhanced(pages.where("sheet_id < 4"), 2.0).collect()] == [(1, 1200, 600)]
+    alone = {(r["x"], r["y"]) for r in tracing.thinned(pages.where("sheet_id = 1")).collect()}
+    y, x = np.nonzero(raster.skeleton(raster.binarize(page)))
+    assert alone == set(zip(x.tolist(), y.tolist(), strict=True))
