@@ -1,9 +1,9 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 For unit vectors, a cosine of at least t is a distance of at most eps = sqrt(2 - 2t). Vectors are projected
-on their leading principal dimensions (a distance there is never larger), and sorted by the grid cells of
-width eps, dimension by dimension. The sorted sequence is cut into blocks of a fixed number of vectors, each with the box
-of its projections. Block pairs are found by an equi-join on the first dimension's cells and kept unless
+on their leading principal dimensions, with the length of what these leave out beside them (a distance there is never
+larger), and sorted by the grid cells of width eps, dimension by dimension. The sorted sequence is cut into blocks of a
+fixed number of vectors or bytes, whichever is less, each with the box of its projections. Block pairs are found by an equi-join on the first dimension's cells and kept unless
 their boxes are more than eps apart; each pair is a task, which joins its two intervals recursively, halving
 the longer one and skipping halves whose boxes are too far apart, down to small products of matrices. A task
 gives the number of links of each vector and a spanning star of what hangs together, never the pairs.
@@ -28,14 +28,16 @@ from sheetweave.llm.common import arrow_batch, arrow_schema, bucket_bits, runnin
 from sheetweave.llm.components import components
 from sheetweave.llm.jaccard import FOUND, stars
 
-CELLS, BOX = 4, 8
+#: Dimensions whose cells make the order, and that are projected on; a box has one more, the length of what they leave out.
+CELLS, LEADING = 4, 8
+BOX = LEADING + 1
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def principal(sample: list[bytes], dims: int = BOX) -> dict[int, np.ndarray]:
+def principal(sample: list[bytes], dims: int = LEADING) -> dict[int, np.ndarray]:
     """By length, an orthonormal basis of the leading dimensions."""
     out = {}
     for d in {len(b) for b in sample}:
@@ -74,11 +76,14 @@ def placed(reps: DataFrame, basis: dict[int, np.ndarray], eps: float) -> DataFra
             rows = []
             for rep, size, first, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(v, "<f8")
-                p = (x / np.linalg.norm(x)) @ basis.get(len(x), np.eye(len(x))[:, :BOX])
+                own = basis.get(len(x), np.eye(len(x))[:, :LEADING])
+                u = x / np.linalg.norm(x)
+                p = u @ own
+                rest = np.linalg.norm(u - own @ p)
                 key = 0
                 for c in np.floor(p[:CELLS] / eps).astype(int).clip(-512, 511).tolist():
                     key = key << 10 | c + 512
-                rows.append((rep, size, first, v, len(x), key, np.pad(p, (0, BOX - len(p))).tobytes()))
+                rows.append((rep, size, first, v, len(x), key, np.append(np.pad(p, (0, LEADING - len(p))), rest).tobytes()))
             if rows:
                 yield arrow_batch(rows, schema)
 
@@ -88,7 +93,7 @@ def placed(reps: DataFrame, basis: dict[int, np.ndarray], eps: float) -> DataFra
 BLOCK = "dim long, block long, reps binary, sizes binary, vectors binary, boxes binary, low array<double>, high array<double>"
 
 
-def blocks_of(ranked: DataFrame, size: int) -> DataFrame:
+def blocks_of(ranked: DataFrame, size: int, most_bytes: int) -> DataFrame:
     """One row for each block: its vectors in order, and the box of their projections."""
     def pack(key, table):  # noqa: ANN001, ANN202
         import pyarrow as pa
@@ -99,7 +104,8 @@ def blocks_of(ranked: DataFrame, size: int) -> DataFrame:
         row = (key[0].as_py(), key[1].as_py(), table.column("rep").to_numpy().astype("<i8").tobytes(), table.column("size").to_numpy().astype("<i8").tobytes(), b"".join(table.column("v").to_pylist()), boxes, p.min(0).tolist(), p.max(0).tolist())
         return pa.Table.from_batches([arrow_batch([row], arrow_schema(BLOCK))])
 
-    cut = ranked.withColumn("block", F.floor(F.col("rank") / size))
+    rows = F.greatest(F.lit(1), F.least(F.lit(size), F.floor(F.lit(most_bytes) / (8 * F.col("dim")))))
+    cut = ranked.withColumn("block", F.floor(F.col("rank") / rows))
     return cut.select("dim", "block", "rank", "rep", "size", "v", "box").groupBy("dim", "block").applyInArrow(pack, BLOCK)
 
 
@@ -169,8 +175,11 @@ def link(tasks: DataFrame, threshold: float, eps: float) -> DataFrame:
     return tasks.groupBy("dim", "a", "b").applyInArrow(run, FOUND)
 
 
-def near_vectors(df: DataFrame, *, threshold: float = 0.9, block: int = 2048, sample: int = 10_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Per vector: vec_id, n_links, component_id, kept."""
+def near_vectors(df: DataFrame, *, threshold: float = 0.9, block: int = 16_384, block_bytes: int = 8 << 20, sample: int = 10_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Per vector: vec_id, n_links, component_id, kept.
+
+    A task holds two blocks. Each block is shipped to every block near it, so larger ones ship less and need more memory.
+    """
     eps = math.sqrt(max(0.0, 2 - 2 * threshold))
     vectors = saved(read_vectors(df, id_col, vector_col).withColumn("rep", F.xxhash64("v")))
     good = vectors.where("v is not null")
@@ -183,7 +192,7 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.9, block: int = 2048, sa
     spread = reps.withColumn("_h", F.xxhash64("rep", F.lit(6))).withColumn("_sub", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long"))
     spread = spread.withColumn("_bucket", F.shiftleft("cell", bits) + F.col("_sub")).withColumn("one", F.lit(1).cast("long"))
     ranked = running_before(spread, "dim", "_bucket", ["_h", "rep"], "one", "rank")
-    packed = saved(blocks_of(ranked, block))
+    packed = saved(blocks_of(ranked, block, block_bytes))
     boxes = packed.select("dim", "block", "low", "high")
     first = lambda side: F.explode(F.sequence(F.floor(F.col("low")[0] / eps) - int(side == "b"), F.floor(F.col("high")[0] / eps) + int(side == "b"))) if eps else F.lit(0)
     left = boxes.select("dim", F.col("block").alias("a"), F.col("low").alias("alow"), F.col("high").alias("ahigh"), first("a").alias("c"))

@@ -324,6 +324,18 @@ def test_embeddings(spark):
     assert ego.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_a_rest(spark):
+    """More dimensions than the boxes have: what they leave out skips blocks, and loses no link; blocks are cut by bytes."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + rng.normal(scale=0.06, size=(7, 24)) for c in rng.normal(size=(50, 24)) * np.linspace(3, 0.3, 24)])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+    for block_bytes in (8 * 24 * 20, 8 << 20):
+        got = {r["vec_id"]: r["n_links"] for r in ego.near_vectors(df, block_bytes=block_bytes).collect()}
+        assert [got[i] for i in range(len(x))] == want and max(want) > 5
+
+
 # --- op7 ---
 
 PII = ["mail É.07@mail8.example.com, (212) 555-0199 or +1 (017) 555-7713.", "card 4111 1111 1111 1111 and 7086638319846192", "2020-02-29 31.12.1999 31.02.1999", "ip 10.0.255.3 and 300.1.1.1", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "TOKEN 9233A8ECF7C5B09FE5949719B6B82BC439E9329B!!", "again 4111 1111 1111 1111 é.07@mail8.example.com ...q.7@a.de", "no 123 data", "7086638319846192" * 3000, "Des +1 (826) 555-4081 190.137.223.204 du +44 20 7946 0958 10.11.12.13 +4420794609 (212) 555-0198 7086638319846193"]
