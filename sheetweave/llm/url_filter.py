@@ -5,8 +5,9 @@ one block; pages whose bits are all set are possible hits and go to an exact has
 removes the false positives, so the result never depends on the filter's size. Everything is SQL functions.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is allowed unless a rule fits
-(none fits an empty host); an empty list allows all; repeated pages are judged one by one; other columns of
-the input are ignored, so clashing names do no harm.
+(none fits an empty host); an empty list allows all; repeated pages are judged one by one, and equal URLs alike; a URL
+of any length is read whole; of rules of one length, the last by code points wins; other columns of the input are
+ignored, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetweave.llm.common import saved
+
 LANES = 8
 BLOCK_BITS = 64 * LANES
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,7 +83,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
 
     listed: a column canonical_url of blocked URLs.
     """
-    urls = listed.select("canonical_url").where(F.col("canonical_url").isNotNull()).distinct()
+    urls = saved(listed.select("canonical_url").where(F.col("canonical_url").isNotNull()).distinct())  # read three times
     n_blocks = block_count(urls.count(), bits_per_key)
     rule, said = rule_of(rules)
     page = with_parts(pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias("_in_url")), "_in_url").select(id_col, "host", "path", "canonical_url", rule.alias("rule"), said.alias("_said"))
