@@ -291,6 +291,38 @@ def test_quality_minimises_the_loss():
     assert np.allclose(ranker.score(x), scores, atol=1e-9)
 
 
+def test_quality_learns_from_all_pairs(spark):
+    """Weights, threshold and scores against all pairs of all labelled rows, one by one, however rows are dealt and blocks cut."""
+    rng = np.random.default_rng(2)
+    texts = [words(int(rng.integers(5, 60)), i) + " A1!" * int(rng.integers(0, 9 if i % 3 else 4)) for i in range(200)]
+    y = np.array([int(i % 3 == 0) for i in range(200)])
+    df, labels = docs_frame(spark, texts), spark.createDataFrame([(i, int(k), 0) for i, k in enumerate(y)], "doc_id int, quality int, toxic int")
+    ranker = quality.fit(df, labels)
+    x = np.array([quality.features(t) for t in texts])
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -4, 4)
+    z = np.hstack((z, z * z))
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, z.shape[1])
+    assert np.abs(-(d / (1 + np.exp(d @ ranker.w))[:, None]).mean(0) + 1e-3 * ranker.w).max() < 1e-6
+    cut = np.quantile(z @ ranker.w, (y == 0).mean())
+    assert np.isclose(ranker.cut, cut, atol=1e-9) and np.allclose(ranker.score(x), 1 / (1 + np.exp(cut - z @ ranker.w)), atol=1e-9)
+    small = quality.fit(df.repartition(5), labels, block_rows=2, bloom_bytes=0)  # 100 blocks, added up in two steps; no id is ruled out
+    assert np.allclose(small.w, ranker.w, atol=1e-6) and np.isclose(small.cut, ranker.cut, atol=1e-6)
+    assert small.w.tolist() == quality.fit(df.repartition(3), labels, block_rows=2).w.tolist()
+    one = quality.fit(df, labels.where("quality = 1"))
+    assert not one.known and not quality.fit(df.where("doc_id < 0"), labels).known
+
+
+def test_quality_learns_from_all_rows(spark):
+    """Means and deviations are those of all labelled rows, here more than 20,000."""
+    n = 22_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b"), F.repeat(F.lit(" cd"), (F.col("id") % 7).cast("int")), F.when(F.col("id") % 2 == 0, "!").otherwise(".")).alias("text"))
+    ranker = quality.fit(df, spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 5 < 4).cast("int").alias("quality")))
+    x = np.array([quality.features("a b" + " cd" * (i % 7) + ".!"[i % 2 == 0]) for i in range(14)])[np.arange(n) % 14]
+    assert np.allclose(ranker.mean, x.mean(0), rtol=1e-9) and np.allclose(ranker.sd, x.std(0) + 1e-9, rtol=1e-6, atol=1e-8)
+    z = quality.spread(x, ranker.mean, ranker.sd) @ ranker.w
+    assert np.isclose(ranker.cut, np.quantile(z, (np.arange(n) % 5 == 4).mean()), atol=1e-9)
+
+
 def test_quality_on_held_out_labels(spark):
     got = {r["doc_id"]: r for r in queries.op5_quality(spark, SF_DIR).where("held_out").collect()}
     marks = [(r["quality"], got[r["doc_id"]]["predicted"]) for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect() if r["doc_id"] in got]
