@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheetweave.operators.spatial import shuffled
+
 
 def ratio(a: Column, b: Column, empty: float | Column = 0.0) -> Column:
     """a / b; ``empty`` if b is 0."""
@@ -33,11 +35,11 @@ def plain(counts: DataFrame) -> DataFrame:
 def average_precision(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """ranked: sheet_id, rank (1 on), hit (boolean) of the predictions with a confidence; truth: sheet_id, n_gt. Null without either."""
     w = Window.partitionBy("sheet_id").orderBy("rank")
-    steps = ranked.join(truth.where("n_gt > 0"), "sheet_id")
+    steps = ranked.join(shuffled(truth.where("n_gt > 0")), "sheet_id")
     steps = steps.withColumn("m", F.sum(F.col("hit").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     steps = steps.withColumn("p", F.col("m") / F.col("rank")).withColumn("r", F.col("m") / F.col("n_gt"))
     steps = steps.withColumn("p", F.max("p").over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("d", F.col("r") - F.coalesce(F.lag("r").over(w), F.lit(0.0)))
-    return truth.join(steps.groupBy("sheet_id").agg(F.sum(F.col("p") * F.col("d")).alias("ap")), "sheet_id", "left").select("sheet_id", "ap")
+    return shuffled(truth).join(steps.groupBy("sheet_id").agg(F.sum(F.col("p") * F.col("d")).alias("ap")), "sheet_id", "left").select("sheet_id", "ap")
 
 
 def stratum(a: Column, b: Column) -> Column:
@@ -49,10 +51,10 @@ def topology(pred: DataFrame, truth: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Predictions between unknown or equal nodes aren't scored. Strata: all, line:<type>, class:<a|b>.
     """
-    ends = lambda n: nodes.select("sheet_id", F.col("node").alias(n), F.col("cls").alias(f"cls_{n}"))
+    ends = lambda n: shuffled(nodes.select("sheet_id", F.col("node").alias(n), F.col("cls").alias(f"cls_{n}")))
     p = pred.where("a <> b").select("sheet_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("_p", F.lit(True))
     t = truth.select("sheet_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "line_type").withColumn("_t", F.lit(True))
-    both = p.join(t, ["sheet_id", "a", "b"], "full").join(ends("a"), ["sheet_id", "a"]).join(ends("b"), ["sheet_id", "b"])
+    both = shuffled(p).join(t, ["sheet_id", "a", "b"], "full").join(ends("a"), ["sheet_id", "a"]).join(ends("b"), ["sheet_id", "b"])
     p_, t_ = F.col("_p").isNotNull(), F.col("_t").isNotNull()
     flags = both.select("sheet_id", (p_ & t_).cast("long").alias("tp"), (p_ & ~t_).cast("long").alias("fp"), (~p_ & t_).cast("long").alias("fn"), F.coalesce("line_type", F.lit("false_positive")).alias("lt"), stratum(F.col("cls_a"), F.col("cls_b")).alias("cl"))
     strata = F.explode(F.array(F.lit("all"), F.concat(F.lit("line:"), "lt"), F.concat(F.lit("class:"), "cl")))
@@ -70,11 +72,12 @@ def tag_recall(truth: DataFrame, found: DataFrame, least: int = 5) -> DataFrame:
     The suffix rule is an equi-join on the last characters of both.
     """
     t, p = truth.select("sheet_id", "tag").distinct(), found.select("sheet_id", F.col("tag").alias("got")).distinct()
+    p = shuffled(p)
     same = t.join(p, (t["sheet_id"] == p["sheet_id"]) & (t["tag"] == p["got"]), "left_semi")
     tail = lambda c: F.when(F.length(c) >= least, F.right(F.col(c), F.lit(least)))
     ends = t.withColumn("_e", tail("tag")).join(p.withColumn("_e", tail("got")), ["sheet_id", "_e"]).where(F.col("got").endswith(F.col("tag")) | F.col("tag").endswith(F.col("got"))).select("sheet_id", "tag")
     hit = same.unionByName(ends).distinct().withColumn("_hit", F.lit(1))
-    out = t.join(hit, ["sheet_id", "tag"], "left").groupBy("sheet_id").agg(F.count("*").alias("n_truth"), F.count("_hit").alias("n_hit"))
+    out = t.join(shuffled(hit), ["sheet_id", "tag"], "left").groupBy("sheet_id").agg(F.count("*").alias("n_truth"), F.count("_hit").alias("n_hit"))
     return out.withColumn("recall", ratio(F.col("n_hit"), F.col("n_truth")))
 
 
@@ -87,7 +90,7 @@ def co_grouping(groups: DataFrame) -> DataFrame:
     t = cells.groupBy("sheet_id", "truth").agg(F.sum("n").alias("n")).groupBy("sheet_id").agg(pairs("n").alias("t"))
     every = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
     agree = every - F.col("p") - F.col("t") + 2 * F.col("both")
-    return both.join(p, "sheet_id").join(t, "sheet_id").select("sheet_id", every.alias("n_pairs"), agree.alias("n_agree"), ratio(agree, every).alias("accuracy"))
+    return both.join(shuffled(p), "sheet_id").join(shuffled(t), "sheet_id").select("sheet_id", every.alias("n_pairs"), agree.alias("n_agree"), ratio(agree, every).alias("accuracy"))
 
 
 def path_confidence(base: Column, n: Column, top_share: Column, ambiguous: Column, digits: int | None = 4) -> Column:
@@ -101,5 +104,5 @@ def dominant(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """The most frequent value of each key; ``unknown`` on a tie for the first place."""
     n = df.groupBy(*key, value).agg(F.count("*").alias("n"))
     best = n.groupBy(*key).agg(F.max("n").alias("top"))
-    tops = n.join(best, key).where("n = top").groupBy(*key).agg(F.count("*").alias("k"), F.min(value).alias("v"))
+    tops = n.join(shuffled(best), key).where("n = top").groupBy(*key).agg(F.count("*").alias("k"), F.min(value).alias("v"))
     return tops.select(*key, F.when(F.col("k") == 1, F.col("v")).otherwise("unknown").alias(value))
