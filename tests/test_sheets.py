@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheetweave.operators import assign, graphs, raster, sheets, spatial
 from sheetweave.plans import registry
@@ -85,6 +86,29 @@ def test_components_by_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted((*x, root(x)[1]) for x in nodes)
 
 
+def test_paths_by_brute_force(spark):
+    """Random graphs with loops, repeated edges and ends that are no nodes; with and without symbols that may be passed."""
+    rng = random.Random(9)
+    nodes = [(s, s * 50 + i, rng.random() < 0.5, rng.random() < 0.3) for s in range(12) for i in range(rng.randrange(1, 40))] + [(90, 9000, True, False)]
+    edges = [(s, n, s * 50 + rng.randrange(45)) for s, n, *_ in nodes for _ in range(rng.randrange(3))]
+    kind = {x[:2]: x[2:] for x in nodes}
+    both = {(s, *e) for s, a, b in edges for e in ((a, b), (b, a)) if (s, a) in kind and (s, b) in kind}
+    df = rows(spark, nodes, "sheet_id long, node long, symbol boolean, pass boolean")
+    for most, passing in ((1, False), (3, False), (4, True)):
+        want = {}
+        for s, n, symbol, _ in nodes:
+            far, front = {n: 0}, {n} if symbol else set()
+            for hop in range(1, most + 1):
+                front = {b for t, a, b in both if t == s and a in front and (hop == 1 or not kind[s, a][0] or passing and kind[s, a][1])} - set(far)
+                far |= dict.fromkeys(front, hop)
+                for m in front:
+                    if kind[s, m][0]:
+                        pair = (s, min(n, m), max(n, m))
+                        want[pair] = min(hop, want.get(pair, 99))
+        got = graphs.symbol_paths(df, rows(spark, edges, "sheet_id long, a long, b long"), most=most, passing=F.col("pass") if passing else None).collect()
+        assert sorted(map(tuple, got)) == sorted((*k, v) for k, v in want.items())
+
+
 def test_nearest_by_brute_force(spark):
     """Many ties, nodes at one place, one without a place, sheets of one node."""
     rng = random.Random(6)
