@@ -8,21 +8,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheetweave.functions.geometry import box
-from sheetweave.operators.spatial import at_point, grid_join
+from sheetweave.operators.sheets import Columns, begins, whole_sheets
+from sheetweave.operators.spatial import at_point, grid_join, shuffled
 
 
 def masked(pixels: DataFrame, masks: DataFrame, pad: float = 0.0, cell: float = 16.0) -> DataFrame:
     """Pixels (sheet_id, x, y) outside all padded boxes (m_x0..m_y1)."""
     p = pixels.select("sheet_id", "x", "y")
     hit = grid_join(p, masks, on=["sheet_id"], a=at_point(F.col("x").cast("double"), F.col("y").cast("double")), b=box("m_").padded(pad), cell=cell)
-    return p.join(hit.select("sheet_id", "x", "y").distinct(), ["sheet_id", "x", "y"], "left_anti")
+    return p.join(shuffled(hit.select("sheet_id", "x", "y").distinct()), ["sheet_id", "x", "y"], "left_anti")
 
 
 def junction_pixels(pixels: DataFrame, least: int = 3) -> DataFrame:
-    """Pixels with at least three of eight neighbours, and how many: each pixel votes for its neighbours, which is a sum and not a self-join."""
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i == 0 and j == 0).alias("own")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    votes = pixels.select("sheet_id", "x", "y", steps.alias("s")).groupBy("sheet_id", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"))
-    return votes.agg(F.bool_or("s.own").alias("ink"), (F.count("*") - F.count_if("s.own")).alias("n")).where((F.col("ink")) & (F.col("n") >= least)).drop("ink")
+    """Pixels with at least three of eight neighbours, and how many. A pixel may be listed more than once. Whole sheets are looked up in their sorted pixels, so nothing grows but by the pixels."""
+    def run(c: Columns) -> dict:
+        x, y = c["x"] - c["x"].min() + 1, c["y"] - c["y"].min() + 1
+        wide, high = int(x.max()) + 2, int(y.max()) + 2
+        sheet = np.repeat(np.arange(len(b := begins(c["sheet_id"])) - 1), np.diff(b))
+        ink, first = np.unique((sheet * high + y) * wide + x, return_index=True)
+        n = np.zeros(len(ink), np.int64)
+        for step in (1, wide - 1, wide, wide + 1):
+            at = np.minimum(np.searchsorted(ink, ink + step), len(ink) - 1)
+            met = ink[at] == ink + step
+            n += met
+            np.add.at(n, at[met], 1)
+        kept = n >= least
+        return {k: c[k][first[kept]] for k in ("sheet_id", "x", "y")} | {"n": n[kept]}
+
+    return whole_sheets(pixels.select("sheet_id", F.col("x").cast("long"), F.col("y").cast("long")), run, "sheet_id long, x long, y long, n long")
 
 
 def junction_kind(stubs: Column) -> Column:
